@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -27,10 +28,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: recomputed by nobody, readable by every executor."""
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
+    """Reliable checkpoint: recomputed by nobody, readable by every executor.
+
+    release: lets Spark's cleaner drop shuffle files at once that only the
+    plan of df has used, instead of whenever the driver collects its garbage.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    if release:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return done
 
 
 def words(text: Column) -> Column:
@@ -58,3 +67,12 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, paylo
     g = groups.select(F.col(key).alias("_gk"), *[F.col(c).alias(f"_g_{c}") for c in payload])
     j = r.join(g, F.col("_jk") == F.col("_gk"), "left")
     return j.select(*rows.columns, *[F.when(F.col("_hot").isNotNull(), F.col(f"_h_{c}")).otherwise(F.col(f"_g_{c}")).alias(c) for c in payload])
+
+
+def by_value(module: str) -> None:
+    """Ship a module's functions with the tasks, so that executors need not have the package."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lattika.llm import chat_format, exact_dedup, mixing, pii
+from lattika.llm import chat_format, decontaminate, exact_dedup, langid, line_dedup, mixing, pii, simhash, substring_dedup, suffix_dedup
 from lattika.llm.common import table
 
 #: Conversation -1 of the contract: control strings inside texts.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -25,6 +28,23 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(rows.unionByName(planted))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.later_lines(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "n_copies")
 
@@ -33,11 +53,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_pii": op2_pii,
-    "op3_chat_format": op3_chat_format,
-    "op8_mixing": op8_mixing,
-    "op9_exact_dedup": op9_exact_dedup,
+    f.__name__: f
+    for f in (op1_suffix_dedup, op2_pii, op3_chat_format, op4_line_dedup, op5_simhash, op6_decontaminate, op7_langid, op8_mixing, op9_exact_dedup, op10_substring_dedup)
 }
 
 ESC = r"regexp_replace({0}, '<(\\*)\|(im_start|im_end)\|>', '<\\\1|\2|>', 'g')"
