@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,26 @@ def cut(df: DataFrame, release: bool = False) -> DataFrame:
     return done
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like cut, as compressed Parquet in the shared folder: for tables whose rows are large. Removed at exit."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended; the folder's owner cleans up
+        pass
+
+
 def words(text: Column) -> Column:
     """Array of maximal runs of non-white characters; null and blank give an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WS), lambda w: w != "")
