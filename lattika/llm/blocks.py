@@ -112,6 +112,8 @@ def with_marks(blocks: DataFrame, marks: DataFrame) -> DataFrame:
 
 def by_bucket(h: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """Bucket and the indices of h in it, for buckets that have any."""
+    if not len(h):
+        return
     bucket = ((h >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))

@@ -33,7 +33,7 @@ from lattika.llm.common import by_value, words
 
 by_value(__name__)
 
-PER_LANG, STRETCH = 250, 160
+PER_LANG, STRETCH = 120, 128
 SIZE = 1 << 16  # hashed features
 LONGEST = 24  # bytes of a word that features see
 SEQUENCE, BLOCK = 32, 64
