@@ -32,8 +32,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- Reductions --------------------------------------------------------------------------------
 
-X, W = F.col("l_extendedprice"), F.col("l_discount")
-LEVEL = F.col("l_linenumber") % 3
+X, W = "l_extendedprice", "l_discount"
 LEVEL_SQL = "(l_linenumber % 3)"
 
 _TOTAL = "coalesce(sum({w}*{x}) FILTER (WHERE {w}<>0), 0)"
@@ -59,8 +58,8 @@ def _reduce(name: str):
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = read(spark, sf_dir, "lineitem")
-        x = 1 + F.col("l_tax") / 100 if base == "product" else X
-        r = reduction(name, x, W, level=LEVEL)
+        x = 1 + F.col("l_tax") / 100 if base == "product" else F.col(X)
+        r = reduction(name, x, W, level=F.col("l_linenumber") % 3)
         r = F.log(r) if base == "product" else r / 1e6 if base.endswith("squared") else r
         return d.groupBy("l_returnflag").agg(F.round(r, 2 if base.endswith("squared") else ROUND.get(base, 4)).alias("value"))
 
@@ -78,7 +77,7 @@ for _name in REDUCTIONS:
 SELECT 'level' AS scope, {LEVEL_SQL} AS rl, round(sum(l_discount*l_quantity)/sum(l_discount), 6) AS average, round(sum(l_discount), 4) AS count FROM lineitem GROUP BY 2
 UNION ALL SELECT 'global', -1, round(sum(l_discount*pow(0.125,{LEVEL_SQL})*l_quantity)/sum(l_discount*pow(0.125,{LEVEL_SQL})), 6), round(sum(l_discount*pow(0.125,{LEVEL_SQL})), 4) FROM lineitem""")
 def reduce_levels(spark, sf_dir):
-    d = read(spark, sf_dir, "lineitem").withColumn("rl", LEVEL)
+    d = read(spark, sf_dir, "lineitem").withColumn("rl", F.col("l_linenumber") % 3)
     names = ["average", "count"]
     a = scope.reduce_scope(d, "level", names, "l_quantity", "l_discount").withColumn("scope", F.lit("level"))
     b = scope.reduce_scope(d, "global", names, "l_quantity", "l_discount").withColumn("scope", F.lit("global")).withColumn("rl", F.lit(-1))
@@ -87,7 +86,7 @@ def reduce_levels(spark, sf_dir):
 
 @register("reduce_map", f"SELECT {LEVEL_SQL} AS rl, l_returnflag AS map, sum(l_quantity) AS sum, count(*)::DOUBLE AS count FROM lineitem GROUP BY 1, 2")
 def reduce_map(spark, sf_dir):
-    d = read(spark, sf_dir, "lineitem").withColumn("rl", LEVEL).withColumn("map", F.col("l_returnflag"))
+    d = read(spark, sf_dir, "lineitem").withColumn("rl", F.col("l_linenumber") % 3).withColumn("map", F.col("l_returnflag"))
     return scope.reduce_scope(d, "map", ["sum", "count"], "l_quantity", "l_discount")
 
 
@@ -101,11 +100,11 @@ def reduce_arrays(spark, sf_dir):
 @register("reduce_nan_empty", "SELECT l_returnflag, CASE WHEN l_returnflag = 'N' THEN 'NaN' ELSE printf('%.2f', min(l_extendedprice)) END AS minimum, '1.7976931348623157E308' AS nothing, 1.0::DOUBLE AS one FROM lineitem GROUP BY l_returnflag")
 def reduce_nan_empty(spark, sf_dir):
     """NaN propagates through the minimum; a group whose weights are all zero has the identities."""
-    x = F.when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 1), F.lit(float("nan"))).otherwise(X)
+    x = F.when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 1), F.lit(float("nan"))).otherwise(F.col(X))
     m = reduction("minimum", x)
     shown = F.when(F.isnan(m), "NaN").otherwise(F.format_string("%.2f", m))
     zero = F.lit(0.0) * F.col("l_quantity")
-    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(shown.alias("minimum"), reduction("minimum", X, zero).cast("string").alias("nothing"), reduction("product", X, zero).alias("one"))
+    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(shown.alias("minimum"), reduction("minimum", F.col(X), zero).cast("string").alias("nothing"), reduction("product", F.col(X), zero).alias("one"))
 
 
 @register("centre_of_mass", "SELECT l_returnflag, round(sum(l_quantity*l_discount)/sum(l_quantity), 8) AS x, round(sum(l_quantity*l_tax)/sum(l_quantity), 8) AS y FROM lineitem GROUP BY 1")
