@@ -36,22 +36,28 @@ def cut(df: DataFrame, release: bool = False) -> DataFrame:
     release: lets Spark's cleaner drop shuffle files at once that only the
     plan of df has used, instead of whenever the driver collects its garbage.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     done = df.checkpoint(eager=True)
+    del df  # its plan holds the shuffle files
     if release:
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
+        _release(spark)
     return done
 
 
+def _release(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like cut, as compressed Parquet in the shared folder: for tables whose rows are large. Removed at exit."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    del df
+    _release(spark)
     return spark.read.parquet(path)
 
 
