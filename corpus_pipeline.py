@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattika.llm import decontaminate, langid, line_dedup, mixing, simhash
+from lattika.llm import decontaminate, langid, line_dedup, mixing, near_dedup
 from lattika.llm.common import ensure_checkpoint_dir, table
 
 
@@ -21,9 +21,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return line_dedup.dedup_lines(docs).where(F.col("text").rlike(line_dedup.WORD))
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    groups = simhash.near_duplicates(docs, bits=simhash.BITS, shingle=simhash.SHINGLE)
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (Jaccard similarity of 5-word shingles) stays: the one with the smallest doc_id."""
+    groups = near_dedup.near_duplicates(docs)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
@@ -41,7 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("language_id", language),
     ("line_dedup", line_dedup_stage),
-    ("near_dedup", near_dedup),
+    ("near_dedup", near_dedup_stage),
     ("decontamination", decontamination),
     ("mixing", mixing_stage),
 ]
