@@ -184,6 +184,12 @@ def box_points(spark, sf_dir):
     return boxes.points(part_boxes(spark, sf_dir).where("id % 5 = 0"), ["x", "y"])
 
 
+@register("box_points_whole")
+def box_points_whole(spark, sf_dir):
+    """box_points over all boxes."""
+    return boxes.points(part_boxes(spark, sf_dir), ["x", "y"])
+
+
 BAND_SQL = "(SELECT s_suppkey AS id, (floor(s_acctbal)::BIGINT) AS x_lo, (floor(s_acctbal)::BIGINT) + 40 + s_suppkey % 60 AS x_hi FROM supplier)"
 
 
@@ -446,6 +452,19 @@ def regrid_symmetry(spark, sf_dir):
     return regrid.reflect(part_boxes(spark, sf_dir).where("id % 3 = 0").select("x_lo", "x_hi"), "x")
 
 
+@register("regrid_boxes_whole")
+def regrid_boxes_whole(spark, sf_dir):
+    """regrid_boxes over all boxes."""
+    b = part_boxes(spark, sf_dir).select("x_lo", "x_hi")
+    return regrid.clip(regrid.granulate(regrid.add_buffers(b, ["x"], 2), ["x"], 4), ["x"], 0, 95).distinct()
+
+
+@register("regrid_symmetry_whole")
+def regrid_symmetry_whole(spark, sf_dir):
+    """regrid_symmetry over all boxes."""
+    return regrid.reflect(part_boxes(spark, sf_dir).select("x_lo", "x_hi"), "x")
+
+
 # --- Movement and checks ------------------------------------------------------------------------------------
 
 
@@ -485,3 +504,10 @@ def checksum16(spark, sf_dir):
 def index_rounding(spark, sf_dir):
     q = F.col("l_quantity")
     return read(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select("l_partkey", "l_suppkey", "l_linenumber", scalars.index_half_up(q / 4).alias("half_up"), scalars.index_slice(q / 4).alias("slice"), scalars.index_block(q, 1.0, 8).alias("block"))
+
+
+@register("index_rounding_whole")
+def index_rounding_whole(spark, sf_dir):
+    """index_rounding over all rows."""
+    q = F.col("l_quantity")
+    return read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", scalars.index_half_up(q / 4).alias("half_up"), scalars.index_slice(q / 4).alias("slice"), scalars.index_block(q, 1.0, 8).alias("block"))
