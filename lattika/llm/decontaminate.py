@@ -130,7 +130,7 @@ def find(items: Items, words: np.ndarray, counts: np.ndarray) -> list[tuple[int,
             e, m = int(items.edits[item]), int(items.size[item])
             a, b = max(begin[d], start - e), min(begin[d] + counts[d], start + m + e)
             own = items.words[items.start[item] : items.start[item] + m]
-            if start >= begin[d] and np.array_equal(words[start : start + m], own):
+            if start >= begin[d] and start + m <= begin[d] + counts[d] and np.array_equal(words[start : start + m], own):
                 found, end = 0, int(start + m)
             else:
                 found, end = best_edits(own, words[a:b])
