@@ -11,7 +11,7 @@ item and window: step t writes the current word and moves on if a random bit of
 Candidates are verified by the exact edit distance to the best part of the document.
 
 Words are lower-case runs of anything but white space and ASCII punctuation. Items
-of under `least` words can't be told from chance and never match. Items travel to
+of under `least` words match exactly or not at all; those without words match nothing. Items travel to
 the executors in blocks of bounded size, one pass over the documents for each.
 
 Defined results: null and empty texts match nothing; an item that occurs several
@@ -80,11 +80,11 @@ class Items:
     def __init__(self, rows: list[tuple[int, str | None]], similarity: float, least: int, repeats: int, bits: int):
         body = b"".join(flat(t) + b"\n" for _, t in rows)
         h, counts = kernels.word_hashes(body)
-        keep = counts >= least
+        keep = counts > 0
         start = np.cumsum(counts) - counts
         self.ids = [r[0] for r, k in zip(rows, keep, strict=True) if k]
         self.words, self.start, self.size = h, start[keep], counts[keep]
-        self.edits = np.array([edits_allowed(int(m), similarity) for m in self.size], np.int64)
+        self.edits = np.array([edits_allowed(int(m), similarity) if m >= least else 0 for m in self.size], np.int64)
         self.run = -(-(self.size - self.edits) // (self.edits + 1))
         self.repeats, self.bits = repeats, bits
         self.seeds = {}  # by length of the run: sorted hashes, items and offsets

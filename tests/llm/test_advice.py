@@ -20,3 +20,10 @@ def test_item_across_two_rows(spark):
     got = [(r.doc_id, r.item_id, r.edits) for r in decontaminate.matches(docs(spark, rows), bench).collect()]
     assert got == [(3, 7, 0)]
     assert [r.doc_id for r in decontaminate.clean(docs(spark, rows), bench).collect()] == [1, 2]
+
+
+def test_short_items_match_exactly(spark):
+    bench = spark.createDataFrame([(1, "Who was Kant?"), (2, "kant"), (3, "..."), (4, None)], BENCH)
+    rows = [(1, "so who was, kant then"), (2, "who is kant"), (3, "who was"), (4, None), (5, "was kant who")]
+    got = {(r.doc_id, r.item_id, r.edits, r.start_word) for r in decontaminate.matches(docs(spark, rows), bench).collect()}
+    assert got == {(1, 1, 0, 1), (1, 2, 0, 3), (2, 2, 0, 2), (5, 2, 0, 1)}
