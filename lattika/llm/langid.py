@@ -1,6 +1,6 @@
 """Language identification by a linear-chain conditional random field.
 
-Every word gets a label. Emissions add up hashed features of the word (character
+Every word (run of letters; a long one counts as several) gets a label. Emissions add up hashed features of the word (character
 n-grams of one to four bytes with word edges, which hold the affixes, and the whole
 word as lexicon entry); transitions between neighbouring labels are learned with
 them, by the gradient of the CRF likelihood (forward-backward marginals). Training
@@ -20,6 +20,7 @@ rows give repeated rows; an empty table gives no rows; other columns are ignored
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ by_value(__name__)
 
 PER_LANG, STRETCH = 120, 128
 SIZE = 1 << 16  # hashed features
-LONGEST = 24  # bytes of a word that features see
+LONGEST = 24  # bytes of a token; longer runs of letters are several tokens
 SEQUENCE, BLOCK = 32, 64
 ROUNDS, RATE = 30, 0.15
 CACHE = 400_000
@@ -53,8 +54,24 @@ class Model:
     first: np.ndarray
 
 
-def letters(word: str) -> bytes:
-    return (word if word.isalpha() else "".join(c for c in word if c.isalpha())).encode()[:LONGEST]
+def letters(word: str) -> list[bytes]:
+    """The runs of letters (with their marks) in a word, those over LONGEST bytes in several pieces."""
+    if word.isalpha():
+        runs = [word]
+    else:
+        kept = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in word)
+        runs = [r for r in kept.split() if any(map(str.isalpha, r))]
+    out = []
+    for r in runs:
+        raw, lo = r.encode(), 0
+        while len(raw) - lo > LONGEST:
+            hi = lo + LONGEST
+            while raw[hi] & 0xC0 == 0x80:  # inside a character
+                hi -= 1
+            out.append(raw[lo:hi])
+            lo = hi
+        out.append(raw[lo:])
+    return out
 
 
 def features(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +132,7 @@ def fit(rows: list[tuple[str, list[str]]], rounds: int = ROUNDS, rate: float = R
     model = Model(langs, np.zeros((SIZE, k)), np.log(np.full((k, k), 1.0 / max(k, 1)) + np.eye(k)), np.zeros(k))
     rng, code, vocab, label, text = np.random.default_rng(seed), {x: i for i, x in enumerate(langs)}, {}, [], []
     for lang, ws in rows:
-        ids = [vocab.setdefault(t, len(vocab)) for w in ws if (t := letters(w.lower()))]
+        ids = [vocab.setdefault(t, len(vocab)) for w in ws for t in letters(w.lower())]
         for lo in range(0, len(ids) - SEQUENCE + 1, SEQUENCE):
             text.append(ids[lo : lo + SEQUENCE])
             label.append([code[lang]] * SEQUENCE)
@@ -226,36 +243,42 @@ class Tagger:
 
     def __init__(self, model: Model):
         self.model, self.seen, self.n_known, self.known = model, {}, 0, np.zeros((1024, len(model.langs)))
+        self.size = np.zeros(1024, np.int64)  # tokens of a word, by its first row
 
-    def rows(self, tokens: list[str]) -> np.ndarray:
-        """Row of each token's emissions; -1 without letters."""
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the emissions of all tokens of the words, in order, and the word of each."""
         seen = self.seen
-        new = [w for w in dict.fromkeys(tokens) if w not in seen]
+        new = [w for w in dict.fromkeys(words) if w not in seen]
         if new:
             spelled = [letters(w) for w in new]
-            some = [i for i, s in enumerate(spelled) if s]
+            tokens = [t for s in spelled for t in s]
             base = self.n_known
-            if some:
-                e = emissions(self.model, [spelled[i] for i in some])
+            if tokens:
+                e = emissions(self.model, tokens)
                 while base + len(e) > len(self.known):
                     self.known = np.concatenate((self.known, np.zeros_like(self.known)))
+                    self.size = np.concatenate((self.size, np.zeros_like(self.size)))
                 self.known[base : base + len(e)] = e
-            self.n_known = base + len(some)
-            place = dict(zip(some, range(base, base + len(some)), strict=True))
-            for i, w in enumerate(new):
-                seen[w] = place.get(i, -1)
-        return np.fromiter(map(seen.__getitem__, tokens), np.int64, len(tokens))
+            self.n_known = base + len(tokens)
+            for w, s in zip(new, spelled, strict=True):
+                seen[w] = base if s else -1
+                if s:
+                    self.size[base] = len(s)
+                base += len(s)
+        first = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+        size = np.where(first >= 0, self.size[first], 0)
+        word = np.repeat(np.arange(len(words)), size)
+        return first[word] + np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size), word
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        if len(self.seen) > CACHE:
+        if max(len(self.seen), self.n_known) > CACHE:
             self.seen, self.n_known = {}, 0
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
         if not self.model.langs:
             return lang, score
         split = [(t or "").lower().split() for t in texts]
-        rows = self.rows([w for ws in split for w in ws])
-        doc = np.repeat(np.arange(len(texts)), [len(ws) for ws in split])
-        doc, rows = doc[rows >= 0], rows[rows >= 0]
+        rows, word = self.rows([w for ws in split for w in ws])
+        doc = np.repeat(np.arange(len(texts)), [len(ws) for ws in split])[word]
         counts = np.bincount(doc, minlength=len(texts))
         full = np.flatnonzero(counts)
         if len(full):

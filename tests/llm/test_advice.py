@@ -2,7 +2,7 @@
 
 import random
 
-from lattika.llm import decontaminate
+from lattika.llm import decontaminate, langid, line_dedup
 
 BENCH = "item_id long, text string"
 
@@ -27,3 +27,16 @@ def test_short_items_match_exactly(spark):
     rows = [(1, "so who was, kant then"), (2, "who is kant"), (3, "who was"), (4, None), (5, "was kant who")]
     got = {(r.doc_id, r.item_id, r.edits, r.start_word) for r in decontaminate.matches(docs(spark, rows), bench).collect()}
     assert got == {(1, 1, 0, 1), (1, 2, 0, 3), (2, 2, 0, 2), (5, 2, 0, 1)}
+
+
+def test_langid_reads_whole_texts_without_spaces():
+    assert langid.letters("x") == [b"x"] and langid.letters("12!") == [] and langid.letters("l'eau,vive") == [b"l", b"eau", b"vive"]
+    for word in ("é" * 100, "a" + "字" * 50, "z" * 24, "z" * 25, "हिन्दी" * 9):
+        pieces = langid.letters(word)
+        assert b"".join(pieces).decode() == word and all(len(p) <= 24 and p.decode() for p in pieces)
+    model = langid.fit([("aa", ["sung", "bung", "tung"] * 40), ("bb", ["cado", "dado", "gado"] * 40)])
+    one = ",".join(["sung"] * 6 + ["cado"] * 90)
+    tagger = langid.Tagger(model)
+    lang, score = tagger.label([one, one.replace(",", " "), "sung", "12", None])
+    assert lang == ["bb", "bb", "aa", "und", "und"] and abs(score[0] - score[1]) < 1e-9
+    assert tagger.label(["".join(["sung"] * 6 + ["cado"] * 90)])[0] == ["bb"]
