@@ -40,3 +40,13 @@ def test_langid_reads_whole_texts_without_spaces():
     lang, score = tagger.label([one, one.replace(",", " "), "sung", "12", None])
     assert lang == ["bb", "bb", "aa", "und", "und"] and abs(score[0] - score[1]) < 1e-9
     assert tagger.label(["".join(["sung"] * 6 + ["cado"] * 90)])[0] == ["bb"]
+
+
+def test_dedup_lines_of_rows_without_own_ids(spark):
+    rows = [(None, "first line of a\nonly in a"), (None, "first line of a\nonly in b here"), (None, "other start\nsecond of c stays"), (4, "p q r s\nonly in a"), (4, "t u v w\nx y z"), (4, "t u v w\nx y z"), (5, None)]
+    got = sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup_lines(docs(spark, rows)).collect() if r.text is not None)
+    texts = [x for _, t in got for x in t.split("\n")]
+    assert texts.count("first line of a") == 1 and texts.count("only in a") == 1
+    for x in ("only in b here", "other start", "second of c stays", "p q r s"):
+        assert x in texts
+    assert got[-2:] == [(4, "t u v w\nx y z")] * 2
