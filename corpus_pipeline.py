@@ -46,7 +46,7 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-ORACLE_SQL = None  # SQL can't express language ID; tests/llm compares with a plain form
+ORACLE_SQL = None  # SQL can't express language ID; tests/llm/test_pipeline.py compares the near-dedup stage with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
