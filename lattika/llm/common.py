@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -20,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set."""
+    """The shared folder of the session; a temporary one only where none is set and all runs on this machine."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = os.path.join(tempfile.gettempdir(), "lattika-checkpoints")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
@@ -97,6 +100,11 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, paylo
     return j.select(*rows.columns, *[F.when(F.col("_hot").isNotNull(), F.col(f"_h_{c}")).otherwise(F.col(f"_g_{c}")).alias(c) for c in payload])
 
 
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"_{name}_{uuid.uuid4().hex[:12]}"
+
+
 def by_value(module: str) -> None:
     """Ship a module's functions with the tasks, so that executors need not have the package."""
     import sys
@@ -104,3 +112,6 @@ def by_value(module: str) -> None:
     from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+by_value(__name__)

@@ -36,30 +36,65 @@ def powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-#: An odd base and its inverse modulo 2**64, for each of two independent fingerprints.
-BASES = tuple((b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1))
+#: An odd base and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def rolling(values: np.ndarray, n: int, which: int = 0) -> np.ndarray:
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums from which `between` takes the fingerprint of any run of values (random 64-bit words)."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(BASE, len(values)), out=sums[1:])
+    return sums
+
+
+def between(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Fingerprints of the runs start:stop. Equal runs have equal ones; unlike runs may too, so bytes or words decide."""
+    return mixed((sums[stop] - sums[start]) * powers(INVERSE, len(sums))[start] + (stop - start).astype(np.uint64))
+
+
+def rolling(values: np.ndarray, n: int) -> np.ndarray:
     """Mixed fingerprint of each run of n values (any unsigned integers, mapped to 64 bits by the caller)."""
     if len(values) < n:
         return np.empty(0, np.uint64)
-    base, inverse = BASES[which]
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values)), out=sums[1:])
-    return mixed((sums[n:] - sums[:-n]) * powers(inverse, len(values) - n + 1))
+    sums = prefix_sums(values)
+    return mixed((sums[n:] - sums[:-n]) * powers(INVERSE, len(values) - n + 1))
+
+
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[at:at+size] and b[bt:bt+size] are equal, byte for byte; sizes are over zero."""
+    out = np.ones(len(size), bool)
+    for lo, hi in _runs(size, 1 << 21):
+        n = size[lo:hi]
+        begin = np.cumsum(n) - n
+        within = np.arange(n.sum()) - np.repeat(begin, n)
+        equal = a[np.repeat(at[lo:hi], n) + within] == b[np.repeat(bt[lo:hi], n) + within]
+        out[lo:hi] = np.logical_and.reduceat(equal, begin)
+    return out
+
+
+WINDOW_BITS = 26
 
 
 def window_min(h: np.ndarray, w: int) -> np.ndarray:
     """Position of the smallest of each run of w values, the leftmost of equal ones.
 
-    Values are compared without their lowest bits, which hold the position; minima
-    run forward and backward within blocks of w, and a run spans two blocks at most.
+    Values are compared without their lowest 26 bits; long inputs are taken in
+    slices, so that equal runs select alike wherever they stand.
     """
+    most = 1 << (WINDOW_BITS - 1)
+    if len(h) <= most + w:
+        return _window_min(h, w)
+    starts = range(0, len(h) - w + 1, most)
+    return np.concatenate([lo + _window_min(h[lo : lo + most + w - 1], w) for lo in starts])
+
+
+def _window_min(h: np.ndarray, w: int) -> np.ndarray:
+    """Minima run forward and backward within blocks of w, and a run spans two blocks at most; the lowest bits hold positions."""
     n = len(h) - w + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    bits = np.uint64(max(26, int(len(h)).bit_length()))  # the same for all but giant texts, so equal runs select alike
+    bits = np.uint64(WINDOW_BITS)
     rows = -(-len(h) // w)
     val = np.full(rows * w, np.iinfo(np.uint64).max, np.uint64)
     val[: len(h)] = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
@@ -71,20 +106,17 @@ def window_min(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def word_hashes(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint of each word of documents joined by line breaks, words joined by one space; words in each document."""
-    buf = np.frombuffer(body, np.uint8)
-    if not len(buf):
+    """XXH64 of each word of documents joined by line breaks, words joined by one space; words in each document."""
+    if not body:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    stop = np.flatnonzero((buf == 32) | (buf == 10))
+    buf = np.frombuffer(body + bytes(8), np.uint8)
+    text = buf[: len(body)]
+    stop = np.flatnonzero((text == 32) | (text == 10))
     start = np.concatenate(([0], stop[:-1] + 1))
-    base, inverse = BASES[0]
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(random_words(256, 7)[buf] * powers(base, len(buf)), out=sums[1:])
-    h = mixed((sums[stop] - sums[start]) * powers(inverse, len(buf))[start] + (stop - start).astype(np.uint64))
     real = stop > start
-    last = np.flatnonzero(buf[stop] == 10)
+    last = np.flatnonzero(text[stop] == 10)
     counts = np.diff(np.concatenate(([0], np.cumsum(real)[last])))
-    return h[real], counts
+    return xxh64(buf, start[real], (stop - start)[real], 7), counts
 
 
 def find(parent: np.ndarray) -> np.ndarray:
