@@ -1,19 +1,22 @@
 """Substring dedup by level-wise doubling of word windows.
 
-Level 1 looks at windows of half the target length, at the places that every
-target window is sure to hold one of (the smallest hash among its half windows);
-only those that another document has too survive. Level 2 doubles: target windows
-whose half window survived are looked up with the smallest doc_id they start in.
-A window that repeats at the target length repeats at the half, so none is lost,
-and windows of unique text never reach level 2. Longer levels would only confirm
-removals that the target length has made, so the doubling ends there.
-
-Fingerprints have 63 and 64 bits and cover whole windows.
+The first level looks at windows of `first` words, at the places that every target
+window is sure to hold one of (the smallest hash among its windows of that size).
+Those that another document has too survive, and are extended to twice the length:
+to the right where the target window allows it, else to the left. This goes on until
+no candidate survives or the target length is reached, where windows are looked up
+with the smallest doc_id they start in. A target window that repeats repeats at every
+level, so none is lost, and windows of unique text leave at the first levels.
+
+Words have XXH64 hashes; fingerprints of windows are 63 and 64 bits of a polynomial in
+them. Two unlike windows are taken for equal with a chance of 2**-64 for each pair of
+those whose every level repeats.
 
 Defined results: null, empty and blank texts have no words; texts shorter than the
 target lose nothing; a null doc_id counts as the largest; rows that repeat a doc_id
 are copies of one document and remove nothing of each other; an empty table gives
-no rows; other columns are ignored.
+no rows; other columns are ignored. A document is read whole, however long: its
+text, some ten times over, must fit a task.
 """
 
 from __future__ import annotations
@@ -24,14 +27,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lattika.llm import blocks as B
 from lattika.llm import kernels
-from lattika.llm.common import by_value
+from lattika.llm.common import by_value, cut
 
 by_value(__name__)
 
-TARGET = 13
+TARGET, FIRST = 13, 4
 NONE = np.iinfo(np.int64).max
 
 
@@ -49,34 +53,57 @@ class Words:
         self.starts = np.flatnonzero(self.doc[:n] == self.doc[target - 1 : target - 1 + n])
         self.target = target
 
-    def halves(self) -> tuple[np.ndarray, np.ndarray]:
-        """Half-window hashes, and for each start the place of its smallest one."""
-        half = -(-self.target // 2)
-        h = kernels.rolling(self.h, half)
-        return h, kernels.window_min(h, self.target - half + 1)[self.starts]
+    def alive(self, lengths: list[int], marks: list[list[bytes] | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of target windows that survived the levels that `marks` answers, and the place of each at the next one."""
+        starts, place = self.starts, None
+        for k, size in enumerate(lengths[: len(marks) + 1]):
+            h = kernels.rolling(self.h, size)
+            if place is None:
+                place = kernels.window_min(h, self.target - size + 1)[starts]
+            else:
+                left = place + lengths[k - 1] - size
+                last = starts + self.target - size
+                place = np.where(place <= last, place, np.where(left >= starts, left, last))
+            if k == len(marks):
+                break
+            keep = B.member(h[place] >> np.uint64(1), B.gathered(marks[k]))
+            starts, place = starts[keep], place[keep]
+        return starts, place
 
     def windows(self) -> np.ndarray:
         return kernels.rolling(self.h, self.target)[self.starts]
 
 
-def ask_halves(row: dict, target: int, n: int) -> Iterator[tuple[int, bytes]]:
+def levels(target: int, first: int) -> list[int]:
+    """Doubled lengths below the target."""
+    out, n = [], max(1, first)
+    while n < target:
+        out.append(n)
+        n *= 2
+    return out
+
+
+def ask_level(row: dict, target: int, lengths: list[int], k: int, n: int) -> Iterator[tuple[int, bytes]]:
+    """Hashes of the windows of lengths[k] words that extend the survivors of the levels before."""
+    marks = [row[f"m{i}"] for i in range(k)]
+    if any(not m for m in marks):
+        return
     w = Words(row, target)
-    h, place = w.halves()
+    _, place = w.alive(lengths, marks)
     place = np.unique(place)
-    values, several = B.distinct(h[place] >> np.uint64(1) << np.uint64(1), w.ids[w.doc[place]])
+    values, several = B.distinct(kernels.rolling(w.h, lengths[k])[place] >> np.uint64(1) << np.uint64(1), w.ids[w.doc[place]])
     values = B.flagged(values, several)
     for bucket, at in B.by_bucket(values, n):
         yield bucket, B.squeeze(values[at])
 
 
-def ask_windows(row: dict, target: int, n: int) -> Iterator[tuple[int, bytes]]:
-    known = B.gathered(row["marks"])
-    if not len(known):
+def ask_windows(row: dict, target: int, lengths: list[int], n: int) -> Iterator[tuple[int, bytes]]:
+    marks = [row[f"m{i}"] for i in range(len(lengths))]
+    if any(not m for m in marks):
         return
     w = Words(row, target)
-    h, place = w.halves()
-    alive = B.member(h[place] >> np.uint64(1), known)
-    values, owner = w.windows()[alive], w.ids[w.doc[w.starts[alive]]]
+    starts, _ = w.alive(lengths, marks)
+    values, owner = kernels.rolling(w.h, target)[starts], w.ids[w.doc[starts]]
     order = np.lexsort((owner, values))
     values, owner = values[order], owner[order]
     first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else order
@@ -135,12 +162,20 @@ def remove(row: dict, target: int, with_text: bool) -> Iterator[tuple]:
         lo = int(hi)
 
 
-def substring_dedup(docs: DataFrame, target: int = TARGET, with_text: bool = True, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, target: int = TARGET, first: int = FIRST, with_text: bool = True, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words: one row per row of docs."""
     packed = B.pack(docs, True, block_bytes)
     n = B.n_buckets(packed)
-    halves = B.answer(B.ask(packed, lambda row: ask_halves(row, target, n)), B.reply_repeated)
-    later = B.answer(B.ask(B.with_marks(packed, halves), lambda row: ask_windows(row, target, n)), reply_later)
+    lengths, asked = levels(target, first), packed
+    for k in range(len(lengths)):
+        survivors = cut(B.answer(B.ask(asked, lambda row, k=k: ask_level(row, target, lengths, k, n)), B.reply_repeated), release=True)
+        asked = B.with_marks(asked, survivors.withColumnRenamed("marks", f"m{k}"))
+        if survivors.isEmpty():
+            break
+    if len(asked.columns) < len(packed.columns) + len(lengths):
+        later = packed.select("block").limit(0).withColumn("marks", F.array().cast("array<binary>"))
+    else:
+        later = B.answer(B.ask(asked, lambda row: ask_windows(row, target, lengths, n)), reply_later)
     kinds = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
     def run(batches):
