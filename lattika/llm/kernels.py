@@ -119,6 +119,19 @@ def word_hashes(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return xxh64(buf, start[real], (stop - start)[real], 7), counts
 
 
+def spans(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    n = len(columns[0])
+    if not n:
+        return []
+    new = np.zeros(n, bool)
+    new[0] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    cuts = [*np.flatnonzero(new).tolist(), n]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def find(parent: np.ndarray) -> np.ndarray:
     """Pointers to the roots themselves."""
     while True:

@@ -276,8 +276,7 @@ def _repeats(family: Family, names: list[int], blobs: list[bytes], length: int,
     block, first, count = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((count, first, block))
     block, marks = block[order], np.stack((first[order], count[order]), axis=1)
-    cuts = np.flatnonzero(np.diff(block, prepend=-1))
-    return {int(block[lo]): B.squeeze(np.unique(marks[lo:hi], axis=0)) for lo, hi in zip(cuts, [*cuts[1:], len(block)], strict=True)}
+    return {int(block[lo]): B.squeeze(np.unique(marks[lo:hi], axis=0)) for lo, hi in kernels.spans(block)}
 
 
 def reply_matches(length: int, seed: int, batch: int):
