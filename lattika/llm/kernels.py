@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from lattika.llm.common import by_value
@@ -213,6 +215,22 @@ def xxh64(buf: np.ndarray, off: np.ndarray, size: np.ndarray, seed: int = 42) ->
     return h ^ (h >> np.uint64(32))
 
 
+def majority(h: np.ndarray, ns: np.ndarray) -> np.ndarray:
+    """For each of len(ns) neighbouring groups of ns[i] words h: the bits set in over half of them; zero for none."""
+    # Sums of bits: eight lanes of one byte, over at most 255 words of one group.
+    begin = np.cumsum(ns) - ns
+    parts = -(-ns // 255)
+    owner = np.repeat(np.arange(len(ns)), parts)
+    piece = begin[owner] + 255 * (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts))
+    counts = np.zeros((len(ns), 64), np.int64)
+    if len(h):
+        for b in range(8):
+            lanes = np.add.reduceat((h >> np.uint64(b)) & np.uint64(0x0101010101010101), piece)
+            np.add.at(counts[:, b::8], owner, lanes.view(np.uint8).reshape(-1, 8).astype(np.int64))
+    bits = (2 * counts > ns[:, None]).astype(np.uint64)
+    return (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
 def simhashes(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.ndarray:
     """64-bit SimHash of each text's word shingles; zero without words."""
     body = b"\n".join(b" ".join(t.lower().split()) for t in texts) + b"\n"
@@ -234,17 +252,7 @@ def simhashes(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.ndarra
         i = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(ns) - ns, ns)
         last = np.minimum(i + shingle - 1, ends[doc])
         h = xxh64(buf, start[i], stop[last] - start[i], seed)
-        # Sums of bits: eight lanes of one byte, over at most 255 shingles of one document.
-        begin = np.cumsum(ns) - ns
-        parts = -(-ns // 255)
-        piece_doc = np.repeat(np.arange(hi - lo), parts)
-        piece = begin[piece_doc] + 255 * (np.arange(len(piece_doc)) - np.repeat(np.cumsum(parts) - parts, parts))
-        counts = np.zeros((hi - lo, 64), np.int64)
-        for b in range(8):
-            lanes = np.add.reduceat((h >> np.uint64(b)) & np.uint64(0x0101010101010101), piece)
-            np.add.at(counts[:, b::8], piece_doc, lanes.view(np.uint8).reshape(-1, 8).astype(np.int64))
-        bits = (2 * counts > ns[:, None]).astype(np.uint64)
-        out[lo:hi] = (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        out[lo:hi] = majority(h, ns)
     return out
 
 
@@ -259,15 +267,26 @@ def _runs(n: np.ndarray, most: int):
 
 
 def trie_links(prints: np.ndarray, home: np.ndarray, depth: int, most: int) -> np.ndarray:
-    """Root (an index) of each fingerprint after linking those of `home` to all within `most` bits.
+    """Root (an index) of each fingerprint after linking those of `home` to all within `most` bits; prints: sorted, distinct."""
+    parent = np.arange(len(prints))
 
-    prints: sorted, distinct. The ranges of `prints` that share their first `depth`
-    bits are nodes of the binary trie. Pairs of nodes go down together, a level at a
-    time; a pair that differs in the next bit loses one of its budget and is pruned
-    when none is left. Small pairs are compared directly.
+    def link(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal parent
+        parent = union(parent, x, y)
+
+    trie_join(prints, home, depth, most, link)
+    return parent
+
+
+def trie_join(prints: np.ndarray, home: np.ndarray, depth: int, most: int, take: Callable[[np.ndarray, np.ndarray], None], width: int = 64) -> None:
+    """Gives `take` the index pairs, a bounded number at a time, of `home` and any others within `most` of the first `width` bits.
+
+    prints: sorted. The ranges of `prints` that share their first `depth` bits are
+    nodes of the binary trie. Pairs of nodes go down together, a level at a time; a
+    pair that differs in the next bit loses one of its budget and is pruned when none
+    is left. Small pairs are compared directly. Pairs of a node with itself come in both orders.
     """
     n = len(prints)
-    parent = np.arange(n)
     top = prints >> np.uint64(64 - depth) if depth else np.zeros(n, np.uint64)
     cuts = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1]))) if n else np.empty(0, np.int64)
     ends = np.concatenate((cuts[1:], [n]))
@@ -277,11 +296,11 @@ def trie_links(prints: np.ndarray, home: np.ndarray, depth: int, most: int) -> n
     keep = (budget >= 0) & (~own[lo2] | (lo1 <= lo2))
     lo1, lo2, budget = lo1[keep], lo2[keep], budget[keep]
     lo1, hi1, lo2, hi2 = cuts[lo1], ends[lo1], cuts[lo2], ends[lo2]
-    for d in range(depth, 65):
-        small = ((hi1 - lo1) * (hi2 - lo2) <= 48) | (d == 64)
-        parent = _compare(prints, parent, lo1[small], hi1[small], lo2[small], hi2[small], most)
+    for d in range(depth, width + 1):
+        small = ((hi1 - lo1) * (hi2 - lo2) <= 48) | (d == width)
+        _compare(prints, take, lo1[small], hi1[small], lo2[small], hi2[small], most)
         lo1, hi1, lo2, hi2, budget = (x[~small] for x in (lo1, hi1, lo2, hi2, budget))
-        if not len(lo1) or d == 64:
+        if not len(lo1) or d == width:
             break
         ones = np.concatenate(([0], np.cumsum((prints >> np.uint64(63 - d)) & np.uint64(1)))).astype(np.int64)
         mid1, mid2 = hi1 - (ones[hi1] - ones[lo1]), hi2 - (ones[hi2] - ones[lo2])
@@ -292,17 +311,25 @@ def trie_links(prints: np.ndarray, home: np.ndarray, depth: int, most: int) -> n
         lo1, hi1, lo2, hi2, budget = (np.concatenate(x) for x in zip(*parts, strict=True))
         live = (hi1 > lo1) & (hi2 > lo2) & (budget >= 0)
         lo1, hi1, lo2, hi2, budget = (x[live] for x in (lo1, hi1, lo2, hi2, budget))
-    return parent
 
 
-def _compare(prints, parent, lo1, hi1, lo2, hi2, most, block: int = 1 << 20):
-    """Links of small pairs of ranges, a bounded number of comparisons at a time."""
+def _compare(prints, take, lo1, hi1, lo2, hi2, most, block: int = 1 << 20):
+    """Pairs within small pairs of ranges, a bounded number of comparisons at a time; a large pair is cut."""
     n1, n2 = hi1 - lo1, hi2 - lo2
+    wide = n1 * n2 > block
+    for i in np.flatnonzero(wide):
+        step = max(1, block // int(n2[i]))
+        for at in range(int(lo1[i]), int(hi1[i]), step):
+            to = min(at + step, int(hi1[i]))
+            x = np.repeat(np.arange(at, to), n2[i])
+            y = np.tile(np.arange(lo2[i], hi2[i]), to - at)
+            near = (x != y) & (np.bitwise_count(prints[x] ^ prints[y]) <= most)
+            take(x[near], y[near])
+    lo1, lo2, n1, n2 = lo1[~wide], lo2[~wide], n1[~wide], n2[~wide]
     for a, b in _runs(n1 * n2, block) if len(n1) else ():
         size = (n1 * n2)[a:b]
         k = np.repeat(np.arange(a, b), size)
         j = np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size)
         x, y = lo1[k] + j // n2[k], lo2[k] + j % n2[k]
         near = (x != y) & (np.bitwise_count(prints[x] ^ prints[y]) <= most)
-        parent = union(parent, x[near], y[near])
-    return parent
+        take(x[near], y[near])

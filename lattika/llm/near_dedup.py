@@ -1,42 +1,57 @@
-"""Near duplicates by the Jaccard similarity of word shingles.
-
-A document is the set of its shingles (`SHINGLE` lower-case words; a shorter document
-is one shingle). Equal sets become one, named by 64 bits of their digest. A set gets
-`BANDS` keys of `ROWS` MinHash values each; sets that share a key and whose sizes
-allow the similarity are candidates, and every candidate is verified on the shingles
-of its texts (64-bit fingerprints, compared as sets). A pair at similarity s is a
-candidate with probability 1 - (1 - s^ROWS)^BANDS: 0.9993 at 0.8, more above.
-
-SimHash has no budget that does this: at Jaccard 0.8 the prints differ in 3 to 11 of
-64 bits, and so do many pairs without a common sentence.
-
-Phase 1 pairs the sets of a key with LEADERS of them only, which settles large groups
-of near copies; phase 2 takes all pairs of a key that are not yet in one group, so no
-pair is left out. Groups are those reachable over verified pairs.
+"""SimHash near-dedup at a similarity: trie self-joins of several prints, verified.
+
+The operator of `simhash` for a similarity instead of a few bits. A document is the
+set of its shingles (`SHINGLE` lower-case words; a shorter document is one shingle);
+equal sets become one, named by 64 bits of their digest. A set gets a SimHash of
+`POOL` 64-bit words. Two sets of Jaccard similarity 0.8 differ in 15 % of its bits,
+far beyond the budget of any one trie, so there are several tries: each over a print
+of so many bits of the pool, drawn by seed, that unlike sets seldom meet, and with a
+budget of BUDGET bits. Their number follows from RECALL: at the similarity itself a
+pair is within budget in at least one trie with that probability, above it with more.
+Pairs of nodes go down a trie together and are pruned beyond the budget
+(kernels.trie_join); the rest of the pool and the sizes of the sets sieve the pairs.
+Every pair left is verified: the shingles of both texts are compared as sets (of
+64-bit fingerprints).
+
+Phase 1 takes, for each set, its first neighbour in each of LEADERS random orders,
+which settles large groups of near copies. Phase 2 joins the sets that have more
+neighbours than these, and takes all pairs that are not in one group yet, so no pair
+is left out and no group emits all its pairs. Groups are those reachable over
+verified pairs.
 
 Defined results: null, empty and blank texts are equal; repeated rows are copies of one
-set; a null doc_id counts as the largest; an empty table gives no rows; other columns are ignored.
+set; a null doc_id counts as the largest; an empty table gives no rows; other columns
+are ignored. Texts are handled in slices of about a megabyte; a longer one is a slice of
+its own, and its shingles, some ten times over, must fit a task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattika.llm import kernels
+from lattika.llm.blocks import loosen, squeeze
 from lattika.llm.common import attach_groups, by_value, cut
 from lattika.llm.simhash import components
 
 by_value(__name__)
 
 SIMILARITY, SHINGLE = 0.8, 5
-BANDS, ROWS = 24, 6
-LEADERS = 4
+POOL = 8  # words of 64 bits
+BUDGET = 1  # bits, in each trie
+RECALL = 0.999
+SPARE = 16  # unlike sets that meet a set in one trie, about
+PER_TRIE = 1 << 20  # sets of one task, about
+LEADERS = 3
 SLICE = 1 << 20  # bytes of text handled at once, about
 
 
@@ -56,18 +71,44 @@ def set_key(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True)
 
 
-def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """A row of `bands` keys for each set."""
-    out = np.empty((len(sets), bands), np.uint64)
-    factor, shift = kernels.random_words(bands * rows, 101) | np.uint64(1), kernels.random_words(bands * rows, 102)
+def pool(sets: list[np.ndarray], words: int = POOL) -> np.ndarray:
+    """SimHash of `words` words for each set: a row of them."""
+    out = np.empty((len(sets), words), np.uint64)
     size = np.array([len(s) for s in sets], np.int64)
-    for lo, hi in kernels._runs(size, 1 << 15):
-        flat, start = np.concatenate(sets[lo:hi]), np.cumsum(size[lo:hi]) - size[lo:hi]
-        for band in range(bands):
-            key = np.full(hi - lo, np.uint64(band))
-            for k in range(band * rows, (band + 1) * rows):
-                key = kernels.mixed(key * np.uint64(kernels.MIX1) + np.minimum.reduceat(flat * factor[k] + shift[k], start))
-            out[lo:hi, band] = key
+    for lo, hi in kernels._runs(size, 1 << 18):
+        flat = np.concatenate(sets[lo:hi])
+        for k, salt in enumerate(kernels.random_words(words, 101)):
+            out[lo:hi, k] = kernels.majority(kernels.mixed(flat ^ salt), size[lo:hi])
+    return out
+
+
+def differing(similarity: float) -> float:
+    """Share of differing bits in the SimHash of two sets of equal size and this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def tries(n: int, similarity: float) -> tuple[int, int, int]:
+    """Bits of a print, number of tries, and depth at which a trie is dealt out, for n sets."""
+    def ball(d: int) -> int:
+        return sum(math.comb(d, i) for i in range(BUDGET + 1))
+
+    bits = 8
+    while n * ball(bits) > SPARE * 2**bits and bits < 60:
+        bits += 1
+    p = differing(similarity)
+    met = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(BUDGET + 1))
+    depth = 0
+    while depth < bits and n * ball(depth) > PER_TRIE * 2**depth:
+        depth += 1
+    return bits, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - met))), depth
+
+
+def prints(p: np.ndarray, trie: int, bits: int) -> np.ndarray:
+    """The bits of the pool that a trie takes, as the highest ones of a word."""
+    out = np.zeros(len(p), np.uint64)
+    drawn = np.argsort(kernels.random_words(64 * p.shape[1], 5000 + trie), kind="stable")[:bits]
+    for k, i in enumerate(drawn):
+        out |= ((p[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)) << np.uint64(63 - k)
     return out
 
 
@@ -79,19 +120,18 @@ def _parts(b: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[by
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, key (of the shingle set), n (its size), bands: one row per row of docs."""
+    """doc_id, key (of the shingle set), n (its size), pool: one row per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, texts in _parts(b, 1):
                 sets = shingle_sets(texts, shingle)
                 keys = pa.array([set_key(s) for s in sets], pa.int64())
-                flat = pa.array(band_keys(sets).view(np.int64).ravel())
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array([len(s) for s in sets], pa.int64()), bands], names=["doc_id", "key", "n", "bands"])
+                words = pa.array([x.tobytes() for x in pool(sets)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array([len(s) for s in sets], pa.int64()), words], names=["doc_id", "key", "n", "pool"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, n long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, n long, pool binary")
 
 
 def keyed_texts(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -131,17 +171,88 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int)
     return both.select("x", "y", "a", "b").mapInArrow(run, "x long, y long")
 
 
-def _buckets(members: DataFrame) -> DataFrame:
-    """Keys of a band that several sets share: band, all (sorted array of key, n, root), of more than one group."""
-    b = members.groupBy("band").agg(F.sort_array(F.collect_set(F.struct("key", "n", "root"))).alias("all"))
-    return b.where((F.size("all") > 1) & (F.size(F.array_distinct(F.transform("all", lambda m: m["root"]))) > 1))
+def _dealt(sets: DataFrame, bits: int, n_tries: int, depth: int) -> DataFrame:
+    """(bucket, blob): the sets of a batch for each trie and node that they may have neighbours in."""
 
-
-def _candidates(left: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (x, y), x < y, of rows (m, o) whose groups differ and whose sizes allow the similarity."""
-    n, o = F.col("m.n"), F.col("o.n")
-    fit = (F.least(n, o) >= similarity * F.greatest(n, o) - 1e-9) & (F.col("m.root") != F.col("o.root"))
-    return left.where(fit).select(F.least("m.key", "o.key").alias("x"), F.greatest("m.key", "o.key").alias("y")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, n, root = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            p = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(len(key), -1)
+            buckets, blobs = [], []
+            for t in range(n_tries):
+                own = prints(p, t, bits)
+                cols = np.stack([own, *(x.astype(np.int64).view(np.uint64) for x in (key, n, root)), p[:, 0], p[:, 1]], axis=1)
+                top = (own >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(own), np.int64)
+                for flip in [0] + [sum(1 << i for i in c) for k in range(1, BUDGET + 1) for c in itertools.combinations(range(depth), k)]:
+                    node = top ^ flip
+                    order = np.flatnonzero(node <= top)  # each pair of nodes meets once, in the lower one
+                    order = order[np.argsort(node[order], kind="stable")]
+                    for lo, hi in kernels.spans(node[order]):
+                        buckets.append((t << depth) + int(node[order[lo]]))
+                        blobs.append(squeeze(cols[order[lo:hi]]))
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    return sets.select("key", "n", "root", "pool").mapInArrow(run, "bucket long, blob binary")
+
+
+def _near(prints: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of rows (print, key, n, root, two words of the pool) the sizes and the pool allow."""
+    p = differing(similarity)
+    most = int(128 * p + 4.5 * math.sqrt(128 * p * (1 - p)))
+    n = prints[:, 2].astype(np.int64)
+    bits = np.bitwise_count(prints[x, 4] ^ prints[y, 4]).astype(np.int64) + np.bitwise_count(prints[x, 5] ^ prints[y, 5])
+    return (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9) & (bits <= most) & (prints[x, 3] != prints[y, 3])
+
+
+def _join(dealt: DataFrame, bits: int, depth: int, similarity: float, every: bool) -> DataFrame:
+    """x, y, r, more: with every, all pairs of a trie (r and more are 0); else for each set its first neighbour in order r, and whether it has others."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = np.concatenate([loosen(b, np.uint64).reshape(-1, 6) for b in pdf["blob"]])
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        node = np.uint64(int(pdf["bucket"].iloc[0]) & ((1 << depth) - 1))
+        home = (rows[:, 0] >> np.uint64(64 - depth)) == node if depth else np.ones(len(rows), bool)
+        found: list[np.ndarray] = []
+        turns = [np.argsort(np.argsort(kernels.mixed(rows[:, 1] ^ s), kind="stable"), kind="stable") for s in kernels.random_words(LEADERS, 31)]
+        least, most = ([np.full(len(rows), v, np.int64) for _ in turns] for v in (len(rows), -1))
+
+        def take(x: np.ndarray, y: np.ndarray) -> None:
+            good = _near(rows, x, y, similarity)
+            x, y = x[good], y[good]
+            if every:
+                found.append(np.unique(np.sort(rows[np.stack((x, y), axis=1), 1].view(np.int64), axis=1), axis=0))
+                return
+            for a, b in ((x, y), (y, x)):
+                for r, turn in enumerate(turns):
+                    np.minimum.at(least[r], a, turn[b])
+                    np.maximum.at(most[r], a, turn[b])
+
+        kernels.trie_join(rows[:, 0], home, depth, BUDGET, take, bits)
+        key = rows[:, 1].view(np.int64)
+        if every:
+            pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+            return pd.DataFrame({"x": pairs[:, 0], "y": pairs[:, 1], "r": 0, "more": 0})
+        out = []
+        for r, turn in enumerate(turns):
+            at = np.flatnonzero(most[r] >= 0)
+            back = np.argsort(turn, kind="stable")
+            out.append(pd.DataFrame({"x": key[at], "y": key[back[least[r][at]]], "r": r, "more": (least[r][at] < most[r][at]).astype(np.int64)}))
+        return pd.concat(out).astype("int64")
+
+    return dealt.groupBy("bucket").applyInPandas(run, "x long, y long, r long, more long")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _first(found: DataFrame) -> DataFrame:
+    """x, firsts (its first neighbour over all tries in each order), more (whether it has others)."""
+    salts = F.element_at(F.array(*[F.lit(int(s) - (1 << 64) if int(s) >> 63 else int(s)) for s in kernels.random_words(LEADERS, 31)]), (F.col("r") + 1).cast("int"))
+    each = found.groupBy("x", "r").agg(F.min_by("y", F.xxhash64(F.col("y").bitwiseXOR(salts))).alias("y"), F.count_distinct("y").alias("c"), F.max("more").alias("more"))
+    return each.groupBy("x").agg(F.collect_set("y").alias("firsts"), F.max(F.greatest("more", (F.col("c") > 1).cast("long"))).alias("more"))
 
 
 def _rooted(sets: DataFrame, edges: DataFrame) -> DataFrame:
@@ -153,18 +264,20 @@ def _rooted(sets: DataFrame, edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, component_id (smallest doc_id of those reachable): one row per row of docs."""
     d = cut(signatures(docs, shingle))
-    sets = cut(d.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    members = sets.select("key", "n", F.col("key").alias("root"), F.explode("bands").alias("band"))
-    shared = cut(_buckets(members))
-    # Leaders: the first of the sorted keys, which are digests and so in random order.
-    led = shared.select(F.explode("all").alias("m"), F.slice("all", 1, LEADERS).alias("first")).select("m", F.explode("first").alias("o"))
-    tried = cut(_candidates(led, similarity))
+    sets = cut(d.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("pool").alias("pool")))
+    shape = tries(sets.count(), similarity)
+    bits, _, depth = shape
+    alone = sets.select("key", "n", F.col("key").alias("root"), "pool")
+    first = cut(_first(_join(_dealt(alone, *shape), bits, depth, similarity, False)), release=True)
+    tried = cut(_ordered(first.select("x", F.explode("firsts").alias("y"))))
     some = cut(verified(docs, tried, similarity, shingle))
-    rooted = _rooted(sets.select("key"), some)
-    again = _buckets(shared.select("band", F.explode("all").alias("m")).select("band", "m.key", "m.n").join(rooted, "key"))
-    rest = again.select(F.explode("all").alias("m"), "all").select("m", F.explode(F.filter("all", lambda o: (o["key"] > F.col("m.key")) & (o["root"] != F.col("m.root")))).alias("o"))
-    rest = cut(_candidates(rest, similarity).join(tried, ["x", "y"], "left_anti"))
-    edges = some.unionByName(cut(verified(docs, rest, similarity, shingle))) if rest.take(1) else some
+    busy = first.where("more > 0").select(F.col("x").alias("key"))
+    edges = some
+    if not busy.isEmpty():
+        rooted = _rooted(alone.drop("root").join(busy, "key"), some)
+        rest = cut(_ordered(_join(_dealt(rooted, *shape), bits, depth, similarity, True)).join(tried, ["x", "y"], "left_anti"), release=True)
+        if not rest.isEmpty():
+            edges = some.unionByName(cut(verified(docs, rest, similarity, shingle)))
     rooted = _rooted(sets.select("key", "least", "copies"), edges)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("key", "copies", "component_id")
