@@ -64,11 +64,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        remove_folder(spark, path)
     except Exception:  # the session has ended; the folder's owner cleans up
         pass
 

@@ -35,12 +35,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattika.llm import kernels
 from lattika.llm.blocks import loosen, squeeze
-from lattika.llm.common import attach_groups, by_value, cut
+from lattika.llm.common import attach_groups, by_value, cut, fresh
 from lattika.llm.simhash import components
 
 by_value(__name__)
@@ -282,3 +282,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("key", "copies", "component_id")
     return attach_groups(d.select("doc_id", "key"), named, "key", "copies", ["component_id"], F.xxhash64("doc_id")).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group: of the smallest doc_id (null last), then digest of the text; all columns are kept."""
+    key, turn = fresh("key"), fresh("turn")
+    docs = docs.withColumn(key, F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")))
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key")).alias("doc_id"), "text")
+    groups = near_duplicates(named, similarity, shingle)
+    stays = groups.where("doc_id = component_id OR (doc_id.none AND component_id.none AND doc_id.key = component_id.key)").select(F.col("doc_id.key").alias(key)).distinct()
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))  # rows of one key have the same id and text
+    return docs.join(stays, key, "left_semi").withColumn(turn, rank).where(F.col(turn) == 1).drop(key, turn)

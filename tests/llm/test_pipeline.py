@@ -74,3 +74,56 @@ def test_near_dedup_of_a_large_group(spark):
     rows.append((40, " ".join(w)))
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == groups(rows)
+
+
+def test_run_stage_by_stage(spark, tmp_path):
+    """run() on a small table, every stage against a plain form on that stage's own input."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    sf = "/root/testdata/sf0.001"
+    base = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    top = max(r[0] for r in base)
+    extra = [(top + 1, base[3][1], base[3][2], base[3][3], 1), (top + 1, base[3][1], base[3][2], base[3][3], 1), (None, base[5][1] + " zzz", base[5][2], None, 2), (top + 2, None, "en", "s", 0), (top + 3, "", "en", "s", 0)]
+    for k, r in enumerate(x for x in base if x[1] and 100 < len(x[1].split()) < 400):
+        w = r[1].split(" ")
+        w[rng.randrange(len(w))] = word()
+        extra.append((top + 10 + k, " ".join(w), r[2], r[3], len(r[1])))
+    docs = spark.createDataFrame([(*r, "x") for r in base + extra], "doc_id long, text string, lang string, source string, n_chars long, _id string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before, outs = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, before, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        outs[name] = before = spark.read.parquet(f"{tmp_path}/{name}")
+        assert set(docs.columns) <= set(before.columns)
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0
+    kept = {n: [(r.doc_id, r.text) for r in df.collect()] for n, df in outs.items()}
+    # Language ID: rows as they were, without texts that have no letters.
+    assert set(kept["language_id"]) <= {(r[0], r[1]) for r in base + extra} and all(t for _, t in kept["language_id"])
+    assert len(kept["language_id"]) > 0.8 * len(base)
+    # Line dedup: what is left are the lines without an earlier similar one.
+    named = sorted({(d if d is not None else -1, t) for d, t in kept["language_id"]})
+    once = [(k, t) for k, (_, t) in enumerate(named)]
+    gone = brute.line_repeats(once)
+    want = {(named[k][0], "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in gone)) for k, t in once}
+    assert {(d if d is not None else -1, t) for d, t in kept["line_dedup"]} == {x for x in want if brute.words(x[1])}
+    # Near-dedup: one row of each group.
+    rows = sorted(set(kept["line_dedup"]), key=lambda r: (r[0] is None, r[0] or 0))
+    root = groups([(k, t) for k, (_, t) in enumerate(rows)])
+    assert sorted(map(str, kept["near_dedup"])) == sorted(str(rows[k]) for k in set(root.values()))
+    # Decontamination: nothing goes that holds no item.
+    from test_decontaminate import brute as held
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tmp_path}/benchmark.parquet").collect()]
+    short = [(d, t) for d, t in kept["near_dedup"] if len(t) < 1500]
+    bad = {d for d, _ in held(short, items[:8])}
+    assert bad <= {d for d, _ in kept["near_dedup"]} - {d for d, _ in kept["decontamination"]}
+    assert set(kept["decontamination"]) <= set(kept["near_dedup"])
+    # Mixing: sources come near their targets, nothing beyond three times a document.
+    taken, target = {}, {}
+    for r in outs["mixing"].collect():
+        assert 0 < r.taken <= 3 * r.size and r.size == len(brute.words(r.text))
+        taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in taken)
+    assert sorted(x for x in corpus_pipeline.run(spark, str(tmp_path)).columns) == sorted(outs["mixing"].columns)
