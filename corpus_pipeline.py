@@ -1,4 +1,12 @@
-"""A corpus pipeline over `documents`: each stage calls one operator and its decisions take effect."""
+"""A corpus pipeline over `documents`: each stage calls one operator and its decisions take effect.
+
+All stages keep all columns of their input; the last adds those of the mix. Null, empty and blank texts go at
+language ID, which calls them undetermined. Rows that repeat an id and a text lose no lines to each other and
+become one row at near-dedup, as do ties: of equal texts the row of the smallest doc_id stays, a null one last.
+Rows that share an id but not a text are rows of their own up to decontamination, where they go together. An
+empty table stays empty. Columns that clash with those of the mix are replaced by them. Long texts are read
+whole; a document must fit a task several times over.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattika.llm import decontaminate, langid, line_dedup, mixing, near_dedup
-from lattika.llm.common import ensure_checkpoint_dir, table
+from lattika.llm.common import ensure_checkpoint_dir, remove_folder, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +30,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (Jaccard similarity of 5-word shingles) stays: the one with the smallest doc_id."""
-    groups = near_dedup.near_duplicates(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """One document of each group of near duplicates (SimHash tries, Jaccard similarity 0.8 of 5-word shingles) stays: the one with the smallest doc_id."""
+    return near_dedup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +40,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes, and the output shards of its passes."""
-    return mixing.mix(docs)
+    """The documents that the mix takes words of, with `taken` words, copies, and the shards that draw them."""
+    return mixing.mixed(docs)
 
 
 STAGES = [
@@ -46,14 +52,17 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-ORACLE_SQL = None  # SQL can't express language ID; tests/llm/test_pipeline.py compares the near-dedup stage with brute force
+ORACLE_SQL = None  # SQL can't express language ID; tests/llm/test_pipeline.py compares every stage of run() with a plain form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written as Parquet to the shared folder and read again."""
+    """Applies the stages to documents; each result is written as Parquet to the shared folder and read again, and goes when the next one is written."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove_folder(spark, f"{folder}/{before}")
+        before = name
     return docs
