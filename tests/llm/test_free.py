@@ -123,3 +123,14 @@ def test_langid(spark):
     blocks = langid.document_marginals(e, np.array([200]), model)
     assert np.allclose(blocks[0], whole[0].sum(axis=0), atol=1e-3)
     assert langid.keep_known(docs, model).where("doc_id >= 900").count() == 0
+
+
+def test_line_dedup_odd_tables(spark):
+    """Empty table, repeated rows, clashing columns, odd white space, a text of many lines."""
+    empty = frame(spark, []).withColumnRenamed("block", "_gone")
+    assert line_dedup.later_lines(empty).count() == 0 and line_dedup.dedup_lines(empty).columns == empty.columns
+    line = "one two three four five"
+    rows = [(1, line), (1, line), (2, "one\ttwo\x0bthree  four\rfive"), (3, "\n".join(f"{i} {i + 1} {i * 7}" for i in range(9000))), (4, "five four three two one\nx"), (5, line.upper())]
+    got = {(r.doc_id, r.line_no) for r in line_dedup.later_lines(frame(spark, rows)).collect()}
+    assert got == brute.line_repeats([r for r in rows if r[0] != 3]) - {(1, 0)} | {(d, i) for d, i in got if d == 3}
+    assert {i for d, i in got if d == 3} == set()
