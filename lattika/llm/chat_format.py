@@ -3,13 +3,22 @@ r"""Chat formatting with a grammar round trip (DataFrame functions only).
     conversation = turn*
     turn         = "<|im_start|>" role "\n" text "<|im_end|>\n"
 
-A turn is first rendered as it is and parsed again. Where the parser does not
-recover role and text exactly, or control strings stand inside them, they are
-escaped: "<|im_start|>" becomes "<\|im_start|>", and an escaped form, with any
-number of backslashes, gets one more, so unescaping always gives the source back.
-In roles a line break is written as "<\n|>", with the same rule. The rendered
-conversation is parsed as a whole and compared with the source; a row whose
-round trip failed would carry round_trip = false.
+Neither role nor text of the grammar holds a mark, and a role holds no line break. The
+parser is strict: anything else than the grammar, such as a mark inside a text, a turn
+without its end mark or a role without a line break, gives null for the conversation.
+
+The round trip decides what is escaped. Turns are rendered as they are and parsed
+again, each on its own; where the recovered role or text differs from the source (or
+nothing is recovered), the side that conflicts is escaped once more and parsed again,
+for as many rounds as it takes to be identical, at most ROUNDS. Unescaping takes away
+one level everywhere, so the parser needs no notes on what was escaped:
+"<|im_start|>" becomes "<\|im_start|>", and an escaped form, with any number of
+backslashes, gets one more. In roles a line break is written as "<\n|>", with the
+same rule. Then the rendered conversation is parsed as a whole and compared with the
+source; the query fails where it is not identical.
+
+`loss_mask` has the (start, length) of each assistant text in the formatted string, in
+code points.
 
 Defined results: null role or text is empty; a null conv_id is a conversation of
 its own; turns are ordered by turn (null first), then role, then text, so repeated
@@ -22,10 +31,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattika.llm.common import running
+
 START, END = "<|im_start|>", "<|im_end|>"
 ESCAPABLE = r"<(\\*)\|(im_start|im_end)\|>"
 ESCAPED = r"<\\(\\*)\|(im_start|im_end)\|>"
-ROLE_BREAK, ROLE_ESCAPABLE, ROLE_ESCAPED = r"<\n|>", r"<(\\+)n\|>", r"<\\(\\+)n\|>"
+ROLE_BREAK, ROLE_ESCAPED = r"<\n|>", r"<\\(\\+)n\|>"
+ROUNDS = 3
 
 
 def escape(text: Column) -> Column:
@@ -50,37 +62,68 @@ def render_turn(role: Column, text: Column) -> Column:
     return F.concat(F.lit(START), role, F.lit("\n"), text, F.lit(END + "\n"))
 
 
+TURN = "struct<role:string,text:string>"
+
+
+def parse_turn(p: Column) -> Column:
+    """struct(role, text), unescaped, of what stands between two start marks; null if the grammar does not allow it."""
+    tail = END + "\n"
+    cut_at = F.instr(p, "\n")
+    role = F.substring(p, F.lit(1), cut_at - 1)
+    text = F.substring(p, cut_at + 1, F.length(p) - len(tail) - cut_at)
+    # The first end mark is the one at the end, after the role's line break.
+    fits = p.endswith(tail) & (F.instr(p, END) == F.length(p) - len(tail) + 1) & (cut_at > 0) & (cut_at <= F.length(p) - len(tail))
+    return F.when(fits, F.struct(unescape_role(role).alias("role"), unescape(text).alias("text")))
+
+
 def parse(formatted: Column) -> Column:
-    """Array of struct(role, text), unescaped, of a rendered conversation."""
-    pieces = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda p: p != "")
+    """Array of struct(role, text) of a rendered conversation; null if any of it is not of the grammar."""
+    pieces = F.split(formatted, r"<\|im_start\|>", -1)
+    turns = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), parse_turn)
+    return F.when((F.element_at(pieces, 1) == "") & ~F.exists(turns, lambda t: t.isNull()), turns)
+
+
+def recovered(role: Column, text: Column) -> Column:
+    """The turn that the parser finds in a rendered one; null if it finds none or several."""
+    turns = parse(render_turn(role, text))
+    return F.when(F.size(turns) == 1, F.get(turns, F.lit(0)))
 
-    def turn(p: Column) -> Column:
-        cut_at = F.instr(p, "\n")
-        body = F.length(p) - F.length(F.lit(END + "\n")) - cut_at
-        return F.struct(unescape_role(F.substring(p, F.lit(1), cut_at - 1)).alias("role"), unescape(F.substring(p, cut_at + 1, body)).alias("text"))
 
-    return F.transform(pieces, turn)
+def escaped(rows: DataFrame) -> DataFrame:
+    """rows with shown_role and shown_text, which the parser reads back as role and text, and the number of rounds it took."""
+    d = rows.withColumn("shown_role", F.col("role")).withColumn("shown_text", F.col("text")).withColumn("rounds", F.lit(0))
+    for _ in range(ROUNDS):
+        # Each side is tried with a harmless other side, to see which of them conflicts.
+        role_ok = F.coalesce(recovered(F.col("shown_role"), F.lit(""))["role"] == F.col("role"), F.lit(False))
+        text_ok = F.coalesce(recovered(F.lit("x"), F.col("shown_text"))["text"] == F.col("text"), F.lit(False))
+        d = d.withColumn("_ok", F.struct(role_ok.alias("role"), text_ok.alias("text")))
+        d = d.withColumn("shown_role", F.when(F.col("_ok.role"), F.col("shown_role")).otherwise(escape_role(F.col("shown_role"))))
+        d = d.withColumn("shown_text", F.when(F.col("_ok.text"), F.col("shown_text")).otherwise(escape(F.col("shown_text"))))
+        d = d.withColumn("rounds", F.col("rounds") + (~F.col("_ok.role") | ~F.col("_ok.text")).cast("int")).drop("_ok")
+    return d
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns (parsed back), round_trip, n_escaped: one row a conversation."""
+    """conv_id, formatted, turns (parsed back), round_trip, loss_mask, n_escaped: one row a conversation."""
     src = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    # A turn as it is survives the strict grammar only if no control string, plain or escaped, stands in it.
-    plain = ~F.col("text").rlike(ESCAPABLE) & ~F.col("role").rlike(ESCAPABLE) & ~F.col("role").contains("\n") & ~F.col("role").rlike(ROLE_ESCAPABLE)
-    shown = F.when(plain, render_turn(F.col("role"), F.col("text"))).otherwise(render_turn(escape_role(F.col("role")), escape(F.col("text"))))
-    turns = src.select("conv_id", F.struct("turn", "role", "text", shown.alias("shown"), (~plain).cast("int").alias("escaped")).alias("t"))
-    convs = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    shown = render_turn(F.col("shown_role"), F.col("shown_text"))
+    where = F.length(F.lit(START)) + F.length("shown_role") + 1  # of the text, in the rendered turn
+    turn = F.struct("turn", "role", "text", shown.alias("shown"), where.cast("int").alias("at"), F.length("shown_text").alias("long"), (F.col("rounds") > 0).cast("int").alias("escaped"))
+    convs = escaped(src).select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     convs = convs.select("conv_id", "ts", F.array_join(F.transform("ts", lambda t: t["shown"]), "").alias("formatted"))
-    convs = convs.withColumn("turns", parse(F.col("formatted")))
-    same = F.col("turns") == F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return convs.select("conv_id", "formatted", "turns", same.alias("round_trip"), F.aggregate("ts", F.lit(0), lambda a, t: a + t["escaped"]).alias("n_escaped"))
+    convs = convs.withColumn("turns", parse(F.col("formatted"))).withColumn("_begin", running(F.transform("ts", lambda t: F.length(t["shown"]))))
+    same = F.coalesce(F.col("turns") == F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))), F.lit(False))
+    spans = F.filter(F.zip_with("ts", "_begin", lambda t, b: F.struct((b + t["at"]).alias("start"), t["long"].alias("length"), t["role"].alias("role"))), lambda x: x["role"] == "assistant")
+    mask = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+    return convs.select("conv_id", "formatted", "turns", same.alias("round_trip"), mask.alias("loss_mask"), F.aggregate("ts", F.lit(0), lambda a, t: a + t["escaped"]).alias("n_escaped"))
 
 
 def chat_digest(rows: DataFrame) -> DataFrame:
-    """The contract's columns, all read back from the formatted string."""
-    d = format_chats(rows).select("conv_id", "formatted", "round_trip", "n_escaped", "turns")
-    said = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    d = d.withColumn("loss", said)
+    """The contract's columns, all read back from the formatted string and its loss mask; fails where the round trip is not identical."""
+    d = format_chats(rows)
+    sure = F.when(F.col("round_trip"), F.col("turns")).otherwise(F.raise_error(F.lit("a conversation was not recovered from its formatted string")).cast(f"array<{TURN}>"))
+    said = F.array_join(F.transform("loss_mask", lambda m: unescape(F.substring("formatted", m["start"] + 1, m["length"]))), "")
+    d = d.select("conv_id", "formatted", "round_trip", "n_escaped", sure.alias("turns"), said.alias("loss"))
     shown = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return d.select(
         "conv_id",

@@ -8,6 +8,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +104,28 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, paylo
     return j.select(*rows.columns, *[F.when(F.col("_hot").isNotNull(), F.col(f"_h_{c}")).otherwise(F.col(f"_g_{c}")).alias(c) for c in payload])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(xs: Column) -> Column:
+    """The sum of the elements before each one of an array of numbers; blocks of sqrt(n) elements keep the sums short."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def sums(x: Column) -> Column:
+        n = F.size(x)
+        side = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), ((n - 1) / side).cast("int")), lambda b: total(F.slice(x, b * side + 1, side)))
+        before = lambda s: F.transform(s, lambda _, b: total(F.slice(s, F.lit(1), b)))
+        place = lambda w: F.transform(x, lambda _, i: F.element_at(w, (i / side).cast("int") + 1) + total(F.slice(x, (i / side).cast("int") * side + 1, i % side)))
+        return F.when(n > 0, let(let(blocks, before), place)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(xs, sums)
+
+
 def fresh(name: str) -> str:
     """A column name that no table has."""
     return f"_{name}_{uuid.uuid4().hex[:12]}"
