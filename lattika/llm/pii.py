@@ -7,7 +7,9 @@ prefixes, address blocks), context words to the left, and the edges. Expectation
 maximisation over the counts of vote patterns (at most 3**4 for each kind, over
 all documents) estimates every labeler's reliability and the candidates' labels;
 from these soft labels a logistic span classifier is trained on the same bounded
-table, and it decides on each candidate. Valid base matches always stay.
+table. Its score decides on every match of a looser pattern that no valid base match
+overlaps. Valid base matches always stay, and base matches that fail their check only
+serve to estimate.
 
 Everything is computed within a document's row: no shuffle but of the counts.
 A run of n matches costs n**1.5 at most for its offsets, other work is linear:
@@ -15,7 +17,7 @@ patterns start at the edge of a run only, and repeated groups are possessive.
 
 Defined results: null text counts as empty (no spans); ties can't occur, spans of
 a kind don't overlap; repeated rows give repeated rows; an empty table gives no
-rows; other columns are ignored.
+rows; other columns are ignored. A text is searched whole, however long.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattika.llm.common import let, running
+
 KINDS = ("email", "ip", "card", "phone")
 # Base patterns. \G: where the last match ended; a match that could start within a run starts at its edge as well.
 BASE = {
@@ -55,36 +59,14 @@ CONTEXT = {
 }
 AGAINST = r"(?i)(version|token|secret|hash|sha|md5|isbn|ticket|invoice|order|serial)\W*$"
 LABELERS = ("valid", "gazetteer", "context", "edges")
+TRUST = 0.5  # pseudo-counts of the check, as a share of all candidates
 
 
 def _starts(found: Column, pieces: Column) -> Column:
-    """Offsets of matches, from the matches and the pieces between them; blocks of sqrt(n) keep the sums short."""
-    n = F.size(found)
+    """Offsets of matches, from the matches and the pieces between them."""
     lens = F.zip_with(pieces, found, lambda p, m: F.coalesce(F.length(p), F.lit(0)) + F.coalesce(F.length(m), F.lit(0)))
-    side = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
-
-    def total(xs: Column) -> Column:
-        return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-
-    def with_lens(x: Column) -> Column:  # x: lens, block sums in a struct, so that each is computed once
-        sums = F.transform(F.sequence(F.lit(0), ((n - 1) / side).cast("int")), lambda b: total(F.slice(x, b * side + 1, side)))
-
-        def with_sums(s: Column) -> Column:
-            before = F.transform(s, lambda _, b: total(F.slice(s, F.lit(1), b)))
-
-            def with_before(w: Column) -> Column:
-                return F.transform(found, lambda _, i: F.element_at(w, (i / side).cast("int") + 1) + total(F.slice(x, (i / side).cast("int") * side + 1, i % side)) + F.length(F.element_at(pieces, i + 1)))
-
-            return _let(before, with_before)
-
-        return _let(sums, with_sums)
-
-    return F.when(n > 0, _let(lens, with_lens)).otherwise(F.array().cast("array<int>"))
-
-
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    before = lambda w: F.transform(found, lambda _, i: (F.element_at(w, i + 1) + F.length(F.element_at(pieces, i + 1))).cast("int"))
+    return F.when(F.size(found) > 0, let(running(lens), before)).otherwise(F.array().cast("array<int>"))
 
 
 def _digits(m: Column) -> Column:
@@ -116,21 +98,23 @@ def _matches(kind: str, text: Column, pattern: str, loose: bool) -> Column:
     def described(ms: Column) -> Column:
         def spans(starts: Column) -> Column:
             def one(m: Column, s: Column) -> Column:
-                valid = F.lit(False) if loose else _valid(kind, m)
+                right = _valid(kind, m)
                 left = F.substring(text, F.greatest(s - 39, F.lit(1)), F.least(s, F.lit(40)))
                 near = F.concat(F.substring(text, s, F.when(s > 0, 1).otherwise(0)), F.lit("|"), F.substring(text, s + F.length(m) + 1, F.lit(1)))
-                v1 = F.lit(2) if loose else F.when(valid, 1).otherwise(0)
+                # Obfuscated addresses and IPv6 have no check of their own.
+                v1 = F.lit(2) if loose and kind in ("email", "ip") else F.when(right, 1).otherwise(0)
                 v2 = F.when(m.rlike(GAZETTEER[kind]), 1).otherwise(0)
                 v3 = F.when(left.rlike(CONTEXT[kind]), 1).when(left.rlike(AGAINST), 0).otherwise(2)
                 v4 = F.when(near.rlike(r"[\p{L}0-9]"), 0).otherwise(1)
-                return F.struct(s.alias("start"), (s + F.length(m)).alias("stop"), valid.alias("valid"), F.array(v1, v2, v3, v4).alias("votes"))
+                valid = F.lit(False) if loose else right
+                return F.struct(s.alias("start"), (s + F.length(m)).alias("stop"), valid.alias("valid"), F.lit(loose).alias("loose"), F.array(v1, v2, v3, v4).alias("votes"))
 
             return F.zip_with(ms, starts, one)
 
-        return _let(_starts(ms, pieces), spans)
+        return let(_starts(ms, pieces), spans)
 
-    empty = F.array().cast("array<struct<start:int,stop:int,valid:boolean,votes:array<int>>>")
-    return F.when(text.rlike(NEEDS[kind]), _let(found, described)).otherwise(empty)
+    empty = F.array().cast("array<struct<start:int,stop:int,valid:boolean,loose:boolean,votes:array<int>>>")
+    return F.when(text.rlike(NEEDS[kind]), let(found, described)).otherwise(empty)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,8 +152,9 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = 30) -> tuple[dict
         for j in range(len(LABELERS)):
             rows = []
             for label in (0, 1):
-                # A labeler is held to be right more often than not: one pseudo-count on the diagonal.
-                sums = [2.0 if v == label else 1.0 for v in range(3)]
+                # A labeler is held to be right more often than not: a pseudo-count on the diagonal, and for
+                # the check, which unlike the others can't be right by the look of things, many.
+                sums = [1.0 + (TRUST * total if j == 0 else 1.0) * (v == label) for v in range(3)]
                 for pattern, n in sorted(counts.items()):
                     sums[pattern[j]] += n * (soft[pattern] if label else 1 - soft[pattern])
                 rows.append([s / sum(sums) for s in sums])
@@ -205,8 +190,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         w, score = weights[k], F.lit(weights[k][0])
         for j in range(len(LABELERS)):
             score = score + F.when(c["votes"][j] == 0, w[1 + 2 * j]).when(c["votes"][j] == 1, w[2 + 2 * j]).otherwise(0.0)
-        # Without a valid base match or a context word there is too little to add a span.
-        return c["valid"] | ((score > 0) & (c["votes"][2] == 1) & (c["votes"][3] == 1))
+        return c["valid"] | (c["loose"] & (score > 0))
 
     def pair(c: Column) -> Column:
         return F.struct(c["start"], c["stop"])
