@@ -266,6 +266,10 @@ def _runs(n: np.ndarray, most: int):
         lo = hi
 
 
+#: Pairs of nodes that go down together at once.
+FRONTIER = 1 << 16
+
+
 def trie_links(prints: np.ndarray, home: np.ndarray, depth: int, most: int) -> np.ndarray:
     """Root (an index) of each fingerprint after linking those of `home` to all within `most` bits; prints: sorted, distinct."""
     parent = np.arange(len(prints))
@@ -296,24 +300,33 @@ def trie_join(prints: np.ndarray, home: np.ndarray, depth: int, most: int, take:
     keep = (budget >= 0) & (~own[lo2] | (lo1 <= lo2))
     lo1, lo2, budget = lo1[keep], lo2[keep], budget[keep]
     lo1, hi1, lo2, hi2 = cuts[lo1], ends[lo1], cuts[lo2], ends[lo2]
-    for d in range(depth, width + 1):
+    ones: dict[int, np.ndarray] = {}  # by depth: how many of the prints before an index have the next bit
+    todo = [(depth, lo1, hi1, lo2, hi2, budget)]
+    while todo:
+        d, *pairs = todo.pop()
+        if len(pairs[0]) > FRONTIER:  # one part after the other, so that the pairs under way stay bounded
+            todo += [(d, *(x[at : at + FRONTIER] for x in pairs)) for at in range(0, len(pairs[0]), FRONTIER)]
+            continue
+        lo1, hi1, lo2, hi2, budget = pairs
         small = ((hi1 - lo1) * (hi2 - lo2) <= 48) | (d == width)
         _compare(prints, take, lo1[small], hi1[small], lo2[small], hi2[small], most)
         lo1, hi1, lo2, hi2, budget = (x[~small] for x in (lo1, hi1, lo2, hi2, budget))
         if not len(lo1) or d == width:
-            break
-        ones = np.concatenate(([0], np.cumsum((prints >> np.uint64(63 - d)) & np.uint64(1)))).astype(np.int64)
-        mid1, mid2 = hi1 - (ones[hi1] - ones[lo1]), hi2 - (ones[hi2] - ones[lo2])
+            continue
+        if d not in ones:
+            ones[d] = np.concatenate(([0], np.cumsum((prints >> np.uint64(63 - d)) & np.uint64(1)))).astype(np.int32)
+        o = ones[d]
+        mid1, mid2 = hi1 - (o[hi1] - o[lo1]), hi2 - (o[hi2] - o[lo2])
         same = lo1 == lo2  # a node with itself: the mixed pair counts once
         parts = [(lo1, mid1, lo2, mid2, budget), (mid1, hi1, mid2, hi2, budget), (lo1, mid1, mid2, hi2, budget - 1)]
         other = ~same
         parts.append((mid1[other], hi1[other], lo2[other], mid2[other], budget[other] - 1))
         lo1, hi1, lo2, hi2, budget = (np.concatenate(x) for x in zip(*parts, strict=True))
         live = (hi1 > lo1) & (hi2 > lo2) & (budget >= 0)
-        lo1, hi1, lo2, hi2, budget = (x[live] for x in (lo1, hi1, lo2, hi2, budget))
+        todo.append((d + 1, *(x[live] for x in (lo1, hi1, lo2, hi2, budget))))
 
 
-def _compare(prints, take, lo1, hi1, lo2, hi2, most, block: int = 1 << 20):
+def _compare(prints, take, lo1, hi1, lo2, hi2, most, block: int = 1 << 18):
     """Pairs within small pairs of ranges, a bounded number of comparisons at a time; a large pair is cut."""
     n1, n2 = hi1 - lo1, hi2 - lo2
     wide = n1 * n2 > block

@@ -50,7 +50,7 @@ POOL = 8  # words of 64 bits
 BUDGET = 1  # bits, in each trie
 RECALL = 0.999
 SPARE = 16  # unlike sets that meet a set in one trie, about
-PER_TRIE = 1 << 20  # sets of one task, about
+PER_TRIE = 1 << 18  # sets of one task, about
 LEADERS = 3
 SLICE = 1 << 20  # bytes of text handled at once, about
 
