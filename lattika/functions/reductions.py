@@ -71,17 +71,38 @@ def reduction(name: str, x: Column | str, w: Column | str | None = None, level:
 
 
 def complex_reduction(name: str, re: Column, im: Column, w: Column) -> Column:
-    """Struct (re, im): extrema are componentwise; sum_squared is the true square, sum_abs_squared |z|**2."""
+    """Struct (re, im): extrema are componentwise; sum_squared is the true square, sum_abs_squared |z|**2.
+
+    The product is that of complex numbers, fractional weights by the principal power; a count is real.
+    """
     r = lambda x: REDUCTIONS[name](x, w)
+    if name == "count":
+        return F.struct(r(re).alias("re"), F.lit(0.0).alias("im"))
+    if name == "product":
+        size = F.sqrt(re * re + im * im)
+        radius = F.when(F.max(_on(w, size == 0)), F.lit(0.0)).otherwise(F.exp(F.coalesce(F.sum(_on((w != 0).cast("double") * (size != 0).cast("double"), w * F.log(size))), F.lit(0.0))))
+        angle = F.coalesce(F.sum(_on(w, w * F.atan2(im, re))), F.lit(0.0))
+        return F.struct((radius * F.cos(angle)).alias("re"), (radius * F.sin(angle)).alias("im"))
     if name == "sum_squared":
         return F.struct(_total(w, re * re - im * im).alias("re"), _total(w, 2 * re * im).alias("im"))
     if name in ("sum_abs_squared", "norm2"):
-        both = _total(w, re * re + im * im)
-        return F.struct((both if name == "sum_abs_squared" else F.sqrt(both / F.sum(w))).alias("re"), F.lit(0.0).alias("im"))
+        square = re * re + im * im
+        return F.struct((_total(w, square) if name == "sum_abs_squared" else F.sqrt(_mean(w, square))).alias("re"), F.lit(0.0).alias("im"))
     if name in ("sum_abs", "norm1", "norm_inf"):
         return F.struct(REDUCTIONS[name](F.sqrt(re * re + im * im), w).alias("re"), F.lit(0.0).alias("im"))
     return F.struct(r(re).alias("re"), r(im).alias("im"))
 
 
-def centre_of_mass(m: Column, x: Column) -> Column:
-    return F.when(F.sum(m) != 0, F.sum(m * x) / F.sum(m)).otherwise(F.lit(0.0))
+def strict_for(df, column: str) -> bool:
+    """Whether the compatible rule for integers (squares are 0) applies to a column."""
+    return dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint")
+
+
+def interior(is_ghost: Column, is_outer: Column) -> Column:
+    """Points that take part in a reduction: no ghosts, but those on an outer boundary."""
+    return ~is_ghost | is_outer
+
+
+def centre_of_mass(m: Column, x: Column, mirrored: bool = False) -> Column:
+    """sum(m x) / sum(m); 0 along an axis whose other half is the mirror image, or without mass."""
+    return F.when(F.lit(not mirrored) & (F.sum(m) != 0), F.sum(m * x) / F.sum(m)).otherwise(F.lit(0.0))

@@ -50,6 +50,30 @@ def nan_least(*xs: Column) -> Column:
     return F.when(nan, F.lit(float("nan"))).otherwise(F.least(*xs))
 
 
+def nan_greatest(*xs: Column) -> Column:
+    nan = None
+    for x in xs:
+        nan = F.isnan(x) if nan is None else nan | F.isnan(x)
+    return F.when(nan, F.lit(float("nan"))).otherwise(F.greatest(*xs))
+
+
+def select_variables(text: str, known: list[str]) -> dict[str, dict[str, str]]:
+    """Variables that an option string names, with the options of each.
+
+    "all", group names ("wave" of "wave::phi") and full names, apart by white space; options in braces.
+    """
+    import re
+
+    out: dict[str, dict[str, str]] = {}
+    for name, options in re.findall(r"([^\s{}]+)(?:\{([^}]*)\})?", text):
+        own = dict(re.findall(r"(\w+)\s*=\s*('[^']*'|\"[^\"]*\"|\S+)", options))
+        found = [k for k in known if name == "all" or k.lower() == name.lower() or k.split("::")[0].lower() == name.lower()]
+        if not found:
+            raise KeyError(name)
+        out |= {k: {o: v.strip("'\"") for o, v in own.items()} for k in found}
+    return out
+
+
 def adler32(total: Column, weighted: Column, n: Column) -> Column:
     """Adler-32 of n bytes from the sum of bytes and the sum of (n - position) * byte, position from 0."""
     a = F.pmod(total + 1, F.lit(65521))

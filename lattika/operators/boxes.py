@@ -60,18 +60,32 @@ def shift(lo, hi, v: int, stride: int = 1):
 
 
 def expanded_for(lo: Column, hi: Column, stride: int, origin: int = 0) -> tuple[Column, Column]:
-    """The smallest box of another stride that holds this one."""
+    """The smallest box of another stride that holds this one; an empty box stays empty."""
+    a, b = _outward(lo, hi, stride, origin)
+    return F.when(lo <= hi, a).otherwise(lo), F.when(lo <= hi, b).otherwise(hi)
+
+
+def _outward(lo: Column, hi: Column, stride: int, origin: int) -> tuple[Column, Column]:
     return lo - F.pmod(lo - origin, F.lit(stride)), hi + F.pmod(F.lit(stride) - F.pmod(hi - origin, F.lit(stride)), F.lit(stride))
 
 
 def contracted_for(lo: Column, hi: Column, stride: int, origin: int = 0) -> tuple[Column, Column]:
-    """The largest box of another stride inside this one."""
-    return lo + F.pmod(F.lit(stride) - F.pmod(lo - origin, F.lit(stride)), F.lit(stride)), hi - F.pmod(hi - origin, F.lit(stride))
+    """The largest box of another stride inside this one, which may be empty; an empty box stays empty."""
+    a, b = lo + F.pmod(F.lit(stride) - F.pmod(lo - origin, F.lit(stride)), F.lit(stride)), hi - F.pmod(hi - origin, F.lit(stride))
+    return F.when(lo <= hi, a).otherwise(lo), F.when(lo <= hi, b).otherwise(hi)
+
+
+def anti_contracted_for(lo: Column, hi: Column, stride: int, own: int = 1, origin: int = 0) -> tuple[Column, Column]:
+    """Grown by a stride of its own, expanded for the other stride and shrunk by one of those."""
+    a, b = _outward(lo - own, hi + own, stride, origin)
+    return F.when(lo <= hi, a + stride).otherwise(lo), F.when(lo <= hi, b - stride).otherwise(hi)
 
 
 def hull(df: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
-    """Smallest box around the boxes of each key."""
-    return df.groupBy(*keys).agg(*[F.min(f"{a}_lo").alias(f"{a}_lo") for a in axes], *[F.max(f"{a}_hi").alias(f"{a}_hi") for a in axes])
+    """Smallest box around the boxes of each key. Empty boxes are neutral; of empty boxes alone it is 1 to 0."""
+    some = ~empty([F.col(f"{a}_lo") for a in axes], [F.col(f"{a}_hi") for a in axes])
+    lo = [F.coalesce(F.min(F.when(some, F.col(f"{a}_lo"))), F.lit(1)).alias(f"{a}_lo") for a in axes]
+    return df.groupBy(*keys).agg(*lo, *[F.coalesce(F.max(F.when(some, F.col(f"{a}_hi"))), F.lit(0)).alias(f"{a}_hi") for a in axes])
 
 
 def points(df: DataFrame, axes: list[str], stride: int = 1) -> DataFrame:
@@ -103,6 +117,89 @@ def is_subset(a: DataFrame, b: DataFrame) -> bool:
     return minus(a, b).isEmpty()
 
 
+def is_equal(a: DataFrame, b: DataFrame) -> bool:
+    return symmetric_difference(a, b).isEmpty()
+
+
+def is_proper_subset(a: DataFrame, b: DataFrame) -> bool:
+    return is_subset(a, b) and not minus(b, a).isEmpty()
+
+
+def meets(a: DataFrame, b: DataFrame) -> bool:
+    return not intersect(a, b).isEmpty()
+
+
+def has_point(a: DataFrame, point: dict[str, int]) -> bool:
+    cond = F.lit(True)
+    for x, i in point.items():
+        cond = cond & (F.col(x) == i)
+    return not a.where(cond).isEmpty()
+
+
+def disjoint_union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Union of sets that share no point; one that both have fails the query."""
+    both = a.distinct().unionByName(b.distinct()).groupBy(*a.columns).agg(F.count(F.lit(1)).alias("_n"))
+    sure = F.when(F.col("_n") > 1, F.raise_error(F.lit("sets are not disjoint")).cast("boolean")).otherwise(F.lit(True))
+    return both.where(sure).select(*a.columns)
+
+
+def shift_set(a: DataFrame, by: dict[str, int], stride: int = 1) -> DataFrame:
+    return a.withColumns({x: F.col(x) + v * stride for x, v in by.items()})
+
+
+def expand_set(a: DataFrame, axes: list[str], low: int, high: int, stride: int = 1) -> DataFrame:
+    """Every point grown to a box of points, as a set; an axis at a time, so that copies go early."""
+    for x in axes:
+        a = a.withColumn(x, F.explode(F.array(*[F.col(x) + k * stride for k in range(-low, high + 1)]))).distinct()
+    return a
+
+
+def restride_set(a: DataFrame, axes: list[str], stride: int, how: str = "expanded") -> DataFrame:
+    """Points of another stride that box the set's points in (expanded), or those of them that are in the set (contracted)."""
+    if how == "contracted":
+        cond = F.lit(True)
+        for x in axes:
+            cond = cond & (F.pmod(F.col(x), F.lit(stride)) == 0)
+        return a.where(cond).distinct()
+    for x in axes:
+        down = F.col(x) - F.pmod(F.col(x), F.lit(stride))
+        up = F.col(x) + F.pmod(-F.col(x), F.lit(stride))
+        a = a.withColumn(x, F.explode(F.array_distinct(F.array(down, up)))).distinct()
+    return a
+
+
+def set_sizes(a: DataFrame, first: str, second: str) -> DataFrame:
+    """Of a plane set: points, disjoint boxes of its canonical form, and changes between neighbouring rows (its representation)."""
+    rows = runs(a, first, [second])
+    edges = rows.select(second, F.explode(F.array(F.col(f"{first}_lo"), F.col(f"{first}_hi") + 1)).alias("e"))
+    both = edges.unionByName(edges.withColumn(second, F.col(second) + 1))
+    chi = both.groupBy(second, "e").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    one = a.distinct().agg(F.count(F.lit(1)).alias("size"))
+    return one.join(normalise(a, first, second).agg(F.count(F.lit(1)).alias("setsize"))).join(chi.agg(F.count(F.lit(1)).alias("chi_size")))
+
+
+def equal(lo, hi, other_lo, other_hi) -> Column:
+    """Equal as sets of points: all empty boxes are equal."""
+    same = F.lit(True)
+    for a, b, c, d in zip(lo, hi, other_lo, other_hi, strict=True):
+        same = same & (a == c) & (b == d)
+    return (empty(lo, hi) & empty(other_lo, other_hi)) | same
+
+
+def less(lo, hi, other_lo, other_hi) -> Column:
+    """A proper subset."""
+    return contained_in(lo, hi, other_lo, other_hi) & ~equal(lo, hi, other_lo, other_hi)
+
+
+def linear_index(lo, hi, x, stride: int = 1) -> Column:
+    """Number of a point in the box's order, first axis fastest; null outside."""
+    out, step = F.lit(0).cast("long"), F.lit(1).cast("long")
+    for a, b, p in zip(lo, hi, x, strict=True):
+        out = out + step * F.floor((p - a) / F.lit(float(stride))).cast("long")
+        step = step * (F.floor((b - a) / F.lit(float(stride))) + 1).cast("long")
+    return F.when(contains(lo, hi, x), out)
+
+
 def runs(df: DataFrame, axis: str, across: list[str], stride: int = 1) -> DataFrame:
     """Disjoint maximal runs along an axis for each value of the other axes (gaps and islands)."""
     w = Window.partitionBy(*across).orderBy(axis)

@@ -30,9 +30,11 @@ def plan(points: DataFrame, axes: list[str], order: int, key: str = "point_id")
 
 
 def apply(stencils: DataFrame, grid: DataFrame, axes: list[str], values: list[str], order: int, key: str = "point_id") -> DataFrame:
-    """Values at the points of a plan; a point whose stencil leaves the lattice gets null and status -1."""
+    """Values at the points of a plan; a point whose stencil leaves the lattice gets null and status -1.
+
+    A null in the stencil makes that variable null at the point, and no other.
+    """
     need = (order + 1) ** len(axes)
-    j = stencils.join(grid.select(*axes, *values), axes, "left")
-    g = j.groupBy(key).agg(F.count(values[0]).alias("_n"), *[F.sum(F.col("weight") * F.col(v)).alias(v) for v in values])
-    ok = F.col("_n") == need
-    return g.select(key, *[F.when(ok, F.col(v)).alias(v) for v in values], F.when(ok, 0).otherwise(-1).alias("status"))
+    j = stencils.join(grid.select(*axes, *values, F.lit(1).alias("_in")), axes, "left")
+    g = j.groupBy(key).agg(F.count("_in").alias("_n"), *[F.when(F.count(v) == need, F.sum(F.col("weight") * F.col(v))).alias(v) for v in values])
+    return g.select(key, *values, F.when(F.col("_n") == need, 0).otherwise(-1).alias("status"))

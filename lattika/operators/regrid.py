@@ -150,14 +150,18 @@ def combine(df: DataFrame, axes: list[str], min_fraction: float) -> DataFrame:
 
 def fixpoint(df: DataFrame, steps: list, rounds: int = 10) -> DataFrame:
     """Applies the steps until the set of boxes no longer changes; an error if it doesn't settle."""
+    held = None
     for _ in range(rounds):
         new = df
         for step in steps:
             new = step(new)
-        new = new.distinct().cache()
-        if new.count() == df.distinct().count() and new.join(df, new.columns, "left_anti").isEmpty():
+        new = new.distinct().persist()
+        settled = new.count() == df.distinct().count() and new.join(df, new.columns, "left_anti").isEmpty()
+        if held is not None:
+            held.unpersist()
+        if settled:
             return new
-        df = new
+        df = held = new
     raise RuntimeError("regions did not settle")
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def sync(df: DataFrame, keys: list[str], value: str, is_ghost: Column) -> DataFrame:
-    """Ghost rows take the value of the owner at the same keys; a ghost without owner keeps its own."""
-    owners = df.where(~is_ghost).groupBy(*keys).agg(F.first(value).alias("_v"))
+    """Ghost rows take the value of the owner at the same keys (the least of several); a ghost without owner keeps its own."""
+    owners = df.where(~is_ghost).groupBy(*keys).agg(F.min(value).alias("_v"))
     j = df.withColumn("_g", is_ghost).join(owners, keys, "left")
     return j.withColumn(value, F.when(F.col("_g"), F.coalesce("_v", value)).otherwise(F.col(value))).drop("_g", "_v")
 
@@ -17,7 +17,7 @@ def periodic(df: DataFrame, axis: str, n: int, width: int, others: list[str], va
     """Image points up to `width` beyond both ends of [0, n), by an equi-join on the wrapped index."""
     ghosts = df.sparkSession.range(width).select(F.explode(F.array(-F.col("id") - 1, F.lit(n) + F.col("id"))).alias("_i"))
     inside = df.where(F.col(axis).between(0, n - 1))
-    image = F.broadcast(ghosts.withColumn("_w", F.pmod("_i", F.lit(n))))
+    image = ghosts.withColumn("_w", F.pmod("_i", F.lit(n)))
     wrapped = inside.join(image, inside[axis] == image["_w"]).select(*others, F.col("_i").alias(axis), value)
     return inside.select(*others, axis, value).unionByName(wrapped)
 

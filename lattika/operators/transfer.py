@@ -1,7 +1,8 @@
 """Level transfer by scatter: one shuffle whatever the stencil's width.
 
 Lattices are tables of integer indices and a value. A prolonged point is returned
-only if all its stencil's coarse points exist.
+only if all its stencil's coarse points exist; its value is null if one of theirs is.
+Values are real numbers: integers are not transferred between levels and raise.
 """
 
 from __future__ import annotations
@@ -12,20 +13,28 @@ from pyspark.sql import functions as F
 from lattika.functions import stencils
 
 
+def real(df: DataFrame, value: str) -> DataFrame:
+    """df, if its values may be transferred between levels."""
+    kind = dict(df.dtypes)[value]
+    if kind not in ("float", "double"):
+        raise TypeError(f"{value} is {kind}: only real values are transferred between levels")
+    return df
+
+
 def _scatter(df: DataFrame, axis: str, value: str, entries: list[tuple[int, int, float]], need: dict[int, int]) -> DataFrame:
     """entries: (parity, offset, weight): coarse point i adds weight * value to fine 2 * (i - offset) + parity."""
     others = [c for c in df.columns if c not in (axis, value)]
     parts = F.array(*[F.struct((2 * (F.col(axis) - o) + p).alias("t"), (F.col(value) * w).alias("v")) for p, o, w in entries])
-    out = df.select(*others, F.explode(parts).alias("s")).groupBy(*others, F.col("s.t").alias(axis)).agg(F.sum("s.v").alias(value), F.count(F.lit(1)).alias("_n"))
+    out = df.select(*others, F.explode(parts).alias("s")).groupBy(*others, F.col("s.t").alias(axis)).agg(F.sum("s.v").alias(value), F.count("s.v").alias("_c"), F.count(F.lit(1)).alias("_n"))
     want = F.when(F.pmod(F.col(axis), F.lit(2)) == 0, need[0]).otherwise(need[1])
-    return out.where(F.col("_n") == want).select(*df.columns)
+    return out.where(F.col("_n") == want).withColumn(value, F.when(F.col("_c") == want, F.col(value))).select(*df.columns)
 
 
 def prolong_vertex(df: DataFrame, axes: list[str], order: int, value: str = "v") -> DataFrame:
     """Vertex-centred Lagrange: even fine points are copies, odd ones come from order + 1 coarse points."""
     k = stencils.vertex(order)
     for a in axes:
-        df = _scatter(df, a, value, [(0, 0, 1.0)] + [(1, o, w) for o, w in k], {0: 1, 1: len(k)})
+        df = _scatter(real(df, value), a, value, [(0, 0, 1.0)] + [(1, o, w) for o, w in k], {0: 1, 1: len(k)})
     return df
 
 
@@ -33,7 +42,7 @@ def prolong_cell(df: DataFrame, axes: list[str], order: int, value: str = "v") -
     """Cell-centred Lagrange of order 0 to 5."""
     for a in axes:
         e = [(p, o, w) for p in (0, 1) for o, w in stencils.cell(order, p)]
-        df = _scatter(df, a, value, e, {0: order + 1, 1: order + 1})
+        df = _scatter(real(df, value), a, value, e, {0: order + 1, 1: order + 1})
     return df
 
 
@@ -52,10 +61,11 @@ def restrict_sample(df: DataFrame, axes: list[str]) -> DataFrame:
 
 def restrict_mean(df: DataFrame, axes: list[str], value: str = "v", sampled: list[str] | None = None) -> DataFrame:
     """Cell-centred restriction: mean of the children; `sampled` axes take every second point instead (mixed centring)."""
-    df = restrict_sample(df, sampled or [])
+    df = restrict_sample(real(df, value), sampled or [])
     rest = [c for c in df.columns if c not in (*axes, value)]
-    out = df.groupBy(*rest, *[F.floor(F.col(a) / 2).cast("long").alias(a) for a in axes]).agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("_n"))
-    return out.where(F.col("_n") == 2 ** len(axes)).select(*df.columns)
+    out = df.groupBy(*rest, *[F.floor(F.col(a) / 2).cast("long").alias(a) for a in axes]).agg(F.avg(value).alias(value), F.count(value).alias("_c"), F.count(F.lit(1)).alias("_n"))
+    whole = 2 ** len(axes)
+    return out.where(F.col("_n") == whole).withColumn(value, F.when(F.col("_c") == whole, F.col(value))).select(*df.columns)
 
 
 def restrict_cell(df: DataFrame, axes: list[str], order: int, value: str = "v") -> DataFrame:
@@ -65,7 +75,7 @@ def restrict_cell(df: DataFrame, axes: list[str], order: int, value: str = "v")
         others = [c for c in df.columns if c not in (a, value)]
         t = lambda o: F.col(a) - o  # noqa: E731, B023
         parts = F.array(*[F.struct(t(o).alias("t"), (F.col(value) * w).alias("v")) for o, w in k])
-        df = df.select(*others, F.explode(parts).alias("s")).where("s.t % 2 = 0").groupBy(*others, F.floor(F.col("s.t") / 2).cast("long").alias(a)).agg(F.sum("s.v").alias(value), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(k)).select(*df.columns)
+        df = df.select(*others, F.explode(parts).alias("s")).where("s.t % 2 = 0").groupBy(*others, F.floor(F.col("s.t") / 2).cast("long").alias(a)).agg(F.sum("s.v").alias(value), F.count("s.v").alias("_c"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(k)).withColumn(value, F.when(F.col("_c") == len(k), F.col(value))).select(*df.columns)
     return df
 
 

@@ -37,5 +37,7 @@ def evolve(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], iterat
         if after is not None:
             state = after(state, it)
         if it % every == 0:
-            state = state.checkpoint() if state.sparkSession.sparkContext.getCheckpointDir() else state
+            if not state.sparkSession.sparkContext.getCheckpointDir():
+                raise ValueError("set a checkpoint folder, where the lineage of the state is cut")
+            state = state.checkpoint()
     return state

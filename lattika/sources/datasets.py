@@ -6,6 +6,7 @@ import json
 import re
 from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def read_grid(spark: SparkSession, path: str, var: str | None = None, it: int |
     """The part of a grid that is asked for; partition and row-group pruning come from the filters."""
     df = spark.read.parquet(path)
     if var is not None:
-        df = df.where(F.col("var").rlike(var))
+        df = df.where(F.col("var").rlike(f"^(?:{var})$"))
     for name, value in (("it", it), ("rl", rl)):
         if value is not None:
             df = df.where(F.col(name) == value)
@@ -64,8 +65,10 @@ def recover(spark: SparkSession, path: str) -> tuple[int, dict, dict[str, DataFr
     """The newest whole checkpoint: iteration, parameters, tables."""
     try:
         found = spark.read.text(f"{path}/it=*/manifest").collect()
-    except Exception:  # no checkpoint yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no checkpoint yet
+            return None
+        raise
     best = max((json.loads(r["value"]) for r in found), key=lambda m: m["it"], default=None)
     if best is None:
         return None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FULL = ["it", "tl", "rl", "c", "ml", "ix", "iy", "iz", "time", "x", "y", "z"]
@@ -10,10 +10,11 @@ INTEGERS = {"it", "tl", "rl", "c", "ml", "ix", "iy", "iz"}
 
 
 def read_slices(spark: SparkSession, path: str, values: list[str], columns: list[str] | None = None) -> DataFrame:
-    """Rows of slice files: comments and blank lines are skipped, columns split at any white space."""
+    """Rows of slice files: comments and blank lines are skipped, columns split at any white space; a line of another width fails."""
     names = [*(columns or FULL), *values]
     parts = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)")).select(F.split(F.trim("value"), r"\s+").alias("p"))
-    return parts.where(F.size("p") == len(names)).select(*[F.try_element_at("p", F.lit(k + 1)).cast("int" if n in INTEGERS else "double").alias(n) for k, n in enumerate(names)])
+    whole = F.when(F.size("p") == len(names), True).otherwise(F.raise_error(F.concat(F.lit(f"not {len(names)} columns: "), F.array_join("p", " "))).cast("boolean"))
+    return parts.where(whole).select(*[F.try_element_at("p", F.lit(k + 1)).cast("int" if n in INTEGERS else "double").alias(n) for k, n in enumerate(names)])
 
 
 def read_scalars(spark: SparkSession, path: str, values: list[str]) -> DataFrame:
@@ -49,4 +50,5 @@ def merge_restarts(*runs: DataFrame, keys: list[str], it: str = "it") -> DataFra
     for r in runs[1:]:
         first = r.agg(F.min(it).alias("_f"))
         out = out.join(F.broadcast(first), F.col("_f").isNull() | (F.col(it) < F.col("_f"))).drop("_f").unionByName(r)
-    return out.dropDuplicates([it, *keys])
+    first = Window.partitionBy(it, *keys).orderBy(*[c for c in out.columns if c not in (it, *keys)])  # of repeated rows always the same one
+    return out.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
