@@ -32,6 +32,11 @@ def cell(order: int, parity: int) -> list[tuple[int, float]]:
     return list(zip(offsets, map(float, lagrange([Fraction(2 * o + 1, 2) for o in offsets], Fraction(1 + 2 * parity, 4))), strict=True))
 
 
+def cell_at(offsets: tuple[int, ...], parity: int) -> list[tuple[int, float]]:
+    """(offset, weight) of the given coarse cells for the fine cell of that parity inside coarse cell 0."""
+    return list(zip(offsets, map(float, lagrange([Fraction(2 * o + 1, 2) for o in offsets], Fraction(1 + 2 * parity, 4))), strict=True))
+
+
 def time_weights(times: list[float], t: float) -> list[float]:
     """Lagrange weights over time levels; coinciding levels and extrapolation are errors."""
     scale = max(abs(x) for x in times) or 1.0

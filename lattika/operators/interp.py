@@ -38,3 +38,20 @@ def apply(stencils: DataFrame, grid: DataFrame, axes: list[str], values: list[st
     j = stencils.join(grid.select(*axes, *values, F.lit(1).alias("_in")), axes, "left")
     g = j.groupBy(key).agg(F.count("_in").alias("_n"), *[F.when(F.count(v) == need, F.sum(F.col("weight") * F.col(v))).alias(v) for v in values])
     return g.select(key, *values, F.when(F.col("_n") == need, 0).otherwise(-1).alias("status"))
+
+
+def eno2(points: DataFrame, grid: DataFrame, axis: str, value: str = "v", key: str = "point_id") -> DataFrame:
+    """Parabola, along an axis, through the two lattice points around a point and the third one on the smoother side.
+
+    Smoother: the smaller second difference, the left one of equal. Null where its points are missing.
+    """
+    from lattika.operators.transfer import neighbours
+
+    n = neighbours(grid.select(axis, value), [axis], value, {"a": (-1,), "b": (0,), "c": (1,), "d": (2,)}).withColumnRenamed(axis, "_i")
+    p = points.select(key, F.col(axis).alias("_x")).withColumn("_i", F.floor("_x").cast("long"))
+    a, b, c, d = (F.col(x) for x in "abcd")
+    f = F.col("_x") - F.col("_i")
+    left, right = a - 2 * b + c, b - 2 * c + d
+    by_left = b + f * (c - b) + f * (f - 1) / 2 * left
+    by_right = b + f * (c - b) + f * (f - 1) / 2 * right
+    return p.join(n, "_i", "left").select(key, F.when(F.abs(left) <= F.abs(right), by_left).otherwise(by_right).alias(value))

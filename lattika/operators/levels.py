@@ -52,3 +52,15 @@ def cadence_greedy(df: DataFrame, keys: list[str], at: str, step: float, eps: fl
         return F.struct(F.when(go, t).otherwise(acc["last"]).alias("last"), F.when(go, F.concat(acc["out"], F.array(t))).otherwise(acc["out"]).alias("out"))
 
     return g.select(*keys, F.explode(F.aggregate("ts", start, move)["out"]).alias(at))
+
+
+def advance(times: DataFrame, dt: float, levels: int, time: str = "time", tl: str = "tl") -> DataFrame:
+    """Level 0 gets the next time and all others move up one; the oldest goes."""
+    older = times.withColumn(tl, F.col(tl) + 1)
+    return times.where(F.col(tl) == 0).withColumn(time, F.col(time) + dt).unionByName(older).where(F.col(tl) < levels)
+
+
+def retreat(times: DataFrame, dt: float, levels: int, time: str = "time", tl: str = "tl") -> DataFrame:
+    """The opposite of advance: the oldest level's time is a step before the one that was oldest."""
+    newer = times.where(F.col(tl) > 0).withColumn(tl, F.col(tl) - 1)
+    return times.where(F.col(tl) == levels - 1).withColumn(time, F.col(time) - dt).unionByName(newer)

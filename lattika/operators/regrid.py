@@ -173,3 +173,104 @@ def should_regrid(old: DataFrame, new: DataFrame, key: str, axes: list[str], thr
         d2 = d2 + (F.col(f"o.{a}") - F.col(f"n.{a}")) ** 2
     changed = F.col(f"o.{key}").isNull() | F.col(f"n.{key}").isNull() | (F.col("o.active") != F.col("n.active")) | (d2 > threshold * threshold) | (F.col("o.radius") != F.col("n.radius"))
     return j.agg(F.coalesce(F.max(changed), F.lit(False)).alias("regrid"))
+
+
+def centre_boxes(centres: DataFrame, axes: list[str], origin: float, delta: float) -> DataFrame:
+    """Boxes of lattice indices around centres: a centre's position, and `radii` by level from 1; level 0 is the base grid."""
+    each = centres.where("active").select("*", F.posexplode("radii").alias("_k", "radius"))
+    h = F.lit(delta) / F.pow(F.lit(2.0), F.col("_k") + 1)
+    lo = [F.floor((F.col(a) - F.col("radius") - origin) / h + 0.5).cast("long").alias(f"{a}_lo") for a in axes]
+    hi = [F.floor((F.col(a) + F.col("radius") - origin) / h + 0.5).cast("long").alias(f"{a}_hi") for a in axes]
+    return each.select((F.col("_k") + 1).alias("rl"), *lo, *hi).distinct()
+
+
+def bisect(flags: DataFrame, axes: list[str], box: dict[str, tuple[int, int]], flagged: Column, min_fraction: float, min_width: int) -> DataFrame:
+    """Boxes by recursive bisection of an error field: without a flagged point they go, with `min_fraction` of them
+    or too narrow to halve they stay, else their longest axis (the first of equal ones) is halved.
+
+    The halvings of a point's box don't depend on the flags, so each point lists the boxes that it may end in and
+    one aggregation by box decides on all levels at once; a point takes its first box that stays.
+    """
+    lo, hi = {a: F.lit(box[a][0]) for a in axes}, {a: F.lit(box[a][1]) for a in axes}
+    d = flags.where(flagged).select(*axes)
+    for a in axes:
+        d = d.where(F.col(a).between(*box[a])).withColumn(f"{a}_lo", lo[a]).withColumn(f"{a}_hi", hi[a])
+    steps, span = [], {a: box[a][1] - box[a][0] + 1 for a in axes}
+    while True:
+        a = max(axes, key=lambda x: span[x])  # all boxes of a depth have about the same extent; the first of equal axes
+        last = span[a] < 2 * min_width
+        steps.append(F.struct(F.lit(len(steps)).alias("depth"), F.lit(last).alias("narrow"), *[F.col(f"{x}_{e}@{len(steps)}").alias(f"{x}_{e}") for x in axes for e in ("lo", "hi")]))
+        d = d.withColumns({f"{x}_{e}@{len(steps) - 1}": F.col(f"{x}_{e}") for x in axes for e in ("lo", "hi")})
+        if last:
+            break
+        mid = F.floor((F.col(f"{a}_lo") + F.col(f"{a}_hi") + 1) / 2).cast("int")
+        upper = F.col(a) >= mid
+        d = d.withColumn("_u", upper).withColumn("_m", mid).withColumn(f"{a}_lo", F.when(F.col("_u"), F.col("_m")).otherwise(F.col(f"{a}_lo"))).withColumn(f"{a}_hi", F.when(F.col("_u"), F.col(f"{a}_hi")).otherwise(F.col("_m") - 1)).drop("_u", "_m")
+        span[a] = -(-span[a] // 2)
+    paths = d.select(*axes, F.array(*steps).alias("path"))
+    each = paths.select(*axes, F.explode("path").alias("b"))
+    volume = F.lit(1).cast("long")
+    for a in axes:
+        volume = volume * (F.col(f"b.{a}_hi") - F.col(f"b.{a}_lo") + 1)
+    stay = each.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("b.narrow") | (F.col("n") >= min_fraction * volume))
+    first = each.join(stay, "b").groupBy(*axes).agg(F.min("b").alias("b"))
+    return first.select("b.*").drop("narrow").distinct()
+
+
+def merge_neighbours(df: DataFrame, axis: str, axes: list[str]) -> DataFrame:
+    """Boxes of equal extent in the other axes that touch along an axis become one."""
+    across = [f"{a}_{e}" for a in axes if a != axis for e in ("lo", "hi")]
+    w = Window.partitionBy(*across).orderBy(f"{axis}_lo")
+    apart = F.coalesce(F.lag(f"{axis}_hi").over(w) + 1 != F.col(f"{axis}_lo"), F.lit(True)).cast("int")
+    g = df.select(*[f"{a}_{e}" for a in axes for e in ("lo", "hi")]).distinct().withColumn("_new", apart).withColumn("_g", F.sum("_new").over(w))
+    return g.groupBy(*across, "_g").agg(F.min(f"{axis}_lo").alias(f"{axis}_lo"), F.max(f"{axis}_hi").alias(f"{axis}_hi")).drop("_g").select(*[f"{a}_{e}" for a in axes for e in ("lo", "hi")])
+
+
+def snap_coarse(df: DataFrame, axes: list[str], factor: int = 2) -> DataFrame:
+    """Boxes grown outward to indices that the coarser level has too."""
+    return df.withColumns({f"{a}_lo": F.col(f"{a}_lo") - F.pmod(F.col(f"{a}_lo"), F.lit(factor)) for a in axes} | {f"{a}_hi": F.col(f"{a}_hi") + F.pmod(-F.col(f"{a}_hi"), F.lit(factor)) for a in axes})
+
+
+def in_domain(df: DataFrame, axes: list[str], lo: int, hi: int) -> DataFrame:
+    """Boxes that leave the domain: none, if the regions are right."""
+    out = F.lit(False)
+    for a in axes:
+        out = out | (F.col(f"{a}_lo") < lo) | (F.col(f"{a}_hi") > hi)
+    return df.where(out)
+
+
+def periodic_images(df: DataFrame, axis: str, n: int) -> DataFrame:
+    """Boxes with their images one period up and down that meet the domain [0, n)."""
+    moved = df.withColumn("_s", F.explode(F.array(F.lit(-n), F.lit(0), F.lit(n)))).withColumns({f"{axis}_lo": F.col(f"{axis}_lo") + F.col("_s"), f"{axis}_hi": F.col(f"{axis}_hi") + F.col("_s")}).drop("_s")
+    return moved.where((F.col(f"{axis}_hi") >= 0) & (F.col(f"{axis}_lo") < n)).distinct()
+
+
+def track(centres: DataFrame, surfaces: DataFrame, axes: list[str]) -> DataFrame:
+    """Centres moved to the centroids of their surfaces; without a valid one they stay and become inactive."""
+    s = surfaces.select(F.col("surface").alias("_s"), F.col("valid").alias("_ok"), *[F.col(a).alias(f"_{a}") for a in axes])
+    j = centres.join(s, F.col("surface") == F.col("_s"), "left").withColumn("_ok", F.coalesce("_ok", F.lit(False)))
+    return j.withColumns({a: F.when(F.col("_ok"), F.col(f"_{a}")).otherwise(F.col(a)) for a in axes} | {"active": F.col("_ok")}).select(*centres.columns)
+
+
+def split_even(df: DataFrame, axes: list[str], parts: Column) -> DataFrame:
+    """Boxes cut into slabs of about equal extent across their longest axis (the first of equal ones), no more than it has points."""
+    extent = {a: F.col(f"{a}_hi") - F.col(f"{a}_lo") + 1 for a in axes}
+    longest = F.greatest(*extent.values()) if len(axes) > 1 else extent[axes[0]]
+    d = df.withColumn("_n", F.least(parts.cast("long"), longest.cast("long"))).withColumn("_len", longest).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    done, out = F.lit(False), {}
+    for a in axes:
+        here = ~done & (extent[a] == F.col("_len"))
+        at = lambda k, a=a: F.col(f"{a}_lo") + F.floor(F.col("_len") * k / F.col("_n")).cast("long")
+        out[f"{a}_lo"] = F.when(here, at(F.col("part"))).otherwise(F.col(f"{a}_lo"))
+        out[f"{a}_hi"] = F.when(here, at(F.col("part") + 1) - 1).otherwise(F.col(f"{a}_hi"))
+        done = done | (extent[a] == F.col("_len"))
+    return d.withColumns(out).drop("_n", "_len")
+
+
+def costs(df: DataFrame, axes: list[str], ghosts: int, per_point: float = 1.0, per_ghost: float = 0.25) -> DataFrame:
+    """df with `cost`: interior points and a share of the ghosts around them."""
+    inner, outer = F.lit(1.0), F.lit(1.0)
+    for a in axes:
+        n = (F.col(f"{a}_hi") - F.col(f"{a}_lo") + 1).cast("double")
+        inner, outer = inner * n, outer * (n + 2 * ghosts)
+    return df.withColumn("cost", per_point * inner + per_ghost * (outer - inner))

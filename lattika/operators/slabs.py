@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,19 @@ def slice_offset(local_coord=None, local_index=None, global_coord=None, global_i
     if global_coord is not None:
         return at(global_coord)
     return global_index if global_index is not None else at(default)
+
+
+def line_slab(df: DataFrame, axes: list[str], origin: tuple[int, ...], direction: tuple[int, ...], extent: int, downsample: int = 1, value: str = "v") -> DataFrame:
+    """The older call for one line of points: every `downsample`-th of `extent` points from the origin."""
+    return hyperslab(df, axes, Slab(origin, (direction,), (downsample,), (-(-extent // downsample),)), value)
+
+
+def by_class(df: DataFrame, column: str, ghosts: bool = True, symmetry: bool = True, boundary: bool = True, buffers: bool = True) -> DataFrame:
+    """Points without the classes that are left out; `column` names a point's class or is "interior"."""
+    gone = [n for n, keep in (("ghost", ghosts), ("symmetry", symmetry), ("boundary", boundary), ("buffer", buffers)) if not keep]
+    return df.where(~F.col(column).isin(*gone)) if gone else df
+
+
+def first_places(df: DataFrame, bad: Column, order: list[str], n: int) -> DataFrame:
+    """The first n places where a condition holds: a top-k, not a sort of all rows."""
+    return df.where(bad).orderBy(*order).limit(n)

@@ -82,3 +82,92 @@ class Validity:
             del self.bits[k]
         for (v, tl, *rest), b in old.items():
             self.bits[(v, (tl + 1) % n, *rest)] = b
+
+
+def checksum_verify(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys whose checksums or row counts differ between two tables of `checksum`, or that one of them lacks."""
+    j = before.alias("a").join(after.alias("b"), keys, "full")
+    same = F.col("a.checksum").eqNullSafe(F.col("b.checksum")) & F.col("a.n").eqNullSafe(F.col("b.n"))
+    return j.where(~same).select(*keys)
+
+
+def boundary(df: DataFrame, axis: str, lo: int, hi: int, kind: str, value: str = "v", scalar: float = 0.0) -> DataFrame:
+    """Points outside lo..hi along an axis: `flat` takes the nearest interior value, `mirror` its mirror image, `scalar` a constant; `none` leaves them."""
+    outside = ~F.col(axis).between(lo, hi)
+    if kind == "none":
+        return df
+    if kind == "scalar":
+        return df.withColumn(value, F.when(outside, F.lit(scalar)).otherwise(F.col(value)))
+    if kind not in ("flat", "mirror"):
+        raise ValueError(f"no boundary condition {kind}")
+    clamped = F.least(F.greatest(F.col(axis), F.lit(lo)), F.lit(hi))
+    at = clamped if kind == "flat" else F.when(F.col(axis) < lo, 2 * lo - F.col(axis)).when(F.col(axis) > hi, 2 * hi - F.col(axis)).otherwise(F.col(axis))
+    others = [c for c in df.columns if c not in (axis, value)]
+    source = df.where(~outside).select(*others, F.col(axis).alias("_at"), F.col(value).alias("_v"))
+    j = df.withColumn("_at", at).join(source, [*others, "_at"], "left")
+    return j.withColumn(value, F.when(outside, F.coalesce("_v", value)).otherwise(F.col(value))).select(*df.columns)
+
+
+def split_largest(items: list[tuple[object, float]], workers: int, least: float) -> list[tuple[object, float]]:
+    """Items halved until the busiest worker of a greedy assignment has no item over `least` that is more than its mean share."""
+    items = [((k,), load) for k, load in items]
+    while items:
+        share = sum(load for _, load in items) / workers
+        key, load = max(items, key=lambda x: (x[1], str(x[0])))
+        if load <= max(share, least) or load / 2 < least:
+            break
+        items.remove((key, load))
+        items += [((*key, 0), load / 2), ((*key, 1), load / 2)]
+    return items
+
+
+class Requirements:
+    """Checks, before a step runs, that what it reads was written since it became stale; independent of Validity."""
+
+    def __init__(self):
+        self.written: dict[tuple[str, str], int] = {}
+        self.clock = 0
+
+    def run(self, step: str, reads: list[tuple[str, str]], writes: list[tuple[str, str]]) -> None:
+        lacking = [r for r in reads if r not in self.written]
+        if lacking:
+            raise ValueError(f"{step} reads {lacking}, which nothing has written")
+        self.clock += 1
+        for variable, where in writes:
+            if where == "interior":  # ghosts and boundary are stale from now on
+                for part in ("ghosts", "boundary"):
+                    self.written.pop((variable, part), None)
+            self.written[variable, where] = self.clock
+
+
+class Storage:
+    """Which time levels of which groups are held; numbers of levels change like a stack and never go below zero."""
+
+    def __init__(self, groups: dict[str, list[str]]):
+        self.groups, self.levels = groups, dict.fromkeys(groups, 0)
+
+    def enable(self, group: str, levels: int) -> int:
+        """Raises the number of levels to `levels`; the number before, to go back to."""
+        before = self.levels[group]
+        self.levels[group] = max(before, levels)
+        return before
+
+    def disable(self, group: str, levels: int) -> None:
+        self.levels[group] = max(0, min(self.levels[group], levels))
+
+    def query(self, group: str) -> int:
+        return self.levels[group]
+
+    def held(self, df: DataFrame) -> DataFrame:
+        """The rows (group, tl) of a table whose levels are held."""
+        keep = F.lit(False)
+        for g, n in self.levels.items():
+            keep = keep | ((F.col("group") == g) & (F.col("tl") < n))
+        return df.where(keep)
+
+
+def extents(df: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
+    """Lower and upper index, points and shape of each group's lattice."""
+    lo = [F.min(a).alias(f"{a}_lo") for a in axes]
+    hi = [F.max(a).alias(f"{a}_hi") for a in axes]
+    return df.groupBy(*keys).agg(*lo, *hi, F.count(F.lit(1)).alias("n"))

@@ -7,6 +7,9 @@ Values are real numbers: integers are not transferred between levels and raise.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +83,8 @@ def restrict_cell(df: DataFrame, axes: list[str], order: int, value: str = "v")
 
 
 def minmod(a: Column, b: Column) -> Column:
-    return F.when(a * b < 0, F.lit(0.0)).when(F.abs(a) < F.abs(b), a).otherwise(b)
+    """0 for opposite signs, else the smaller in size; null if one is null."""
+    return F.when(a * b < 0, F.lit(0.0)).when(F.abs(a) < F.abs(b), a).when(F.abs(a) >= F.abs(b), b)
 
 
 def prolong_tvd(df: DataFrame, axis: str, across: list[str], value: str = "v") -> DataFrame:
@@ -159,3 +163,173 @@ def time_interpolate_eno(p1, p2, p3, t: Column) -> Column:
     par = v1 * (t - t2) * (t - t3) / ((t1 - t2) * (t1 - t3)) + v2 * (t - t1) * (t - t3) / ((t2 - t1) * (t2 - t3)) + v3 * (t - t1) * (t - t2) / ((t3 - t1) * (t3 - t2))
     lin = F.when(t >= t2, v2 + (v1 - v2) * (t - t2) / (t1 - t2)).otherwise(v3 + (v2 - v3) * (t - t3) / (t2 - t3))
     return F.when(par.between(F.least(v1, v2, v3), F.greatest(v1, v2, v3)), par).otherwise(lin)
+
+
+# --- Kernels that look at neighbours: gathered by one shuffle, without a window ---------------------
+
+
+def neighbours(df: DataFrame, axes: list[str], value: str, offsets: dict[str, tuple[int, ...]]) -> DataFrame:
+    """Points of df with a column for the value at each named offset; a neighbour that df lacks gives null.
+
+    The value of a point is scattered to those that look at it.
+    """
+    others = [c for c in df.columns if c not in (*axes, value)]
+    parts = F.array(*[F.struct(F.lit(n).alias("n"), *[(F.col(a) - o).alias(a) for a, o in zip(axes, at, strict=True)]) for n, at in offsets.items()])
+    own = next(n for n, at in offsets.items() if not any(at))
+    s = df.select(*others, value, F.explode(parts).alias("s")).groupBy(*others, *[F.col(f"s.{a}").alias(a) for a in axes])
+    out = s.agg(F.max(F.col("s.n") == own).alias("_own"), *[F.max(F.when(F.col("s.n") == n, F.col(value))).alias(n) for n in offsets])
+    return out.where("_own").drop("_own")
+
+
+def _children(df: DataFrame, axes: list[str], rule: Callable[[dict[str, int]], Column], columns: list[str], value: str) -> DataFrame:
+    """All fine points 2 i + f of each coarse point with a value by rule(f); null values go."""
+    kids = [dict(zip(axes, f, strict=True)) for f in itertools.product((0, 1), repeat=len(axes))]
+    parts = F.array(*[F.struct(*[(2 * F.col(a) + f[a]).alias(a) for a in axes], rule(f).alias(value)) for f in kids])
+    rest = [c for c in columns if c not in (*axes, value)]
+    return df.select(*rest, F.explode(parts).alias("s")).select(*rest, *[F.col(f"s.{a}").alias(a) for a in axes], F.col(f"s.{value}").alias(value)).where(F.col(value).isNotNull()).select(*columns)
+
+
+def prolong_tvd_vertex(df: DataFrame, axes: list[str], value: str = "v") -> DataFrame:
+    """Value of the lower corner and, along each axis with an odd fine index, half of a limited slope.
+
+    The slope is the minmod, over the transverse edges of the coarse cell, of the minmod of the up-wind and
+    the local difference. Points whose neighbours are missing are not returned.
+    """
+    offsets: dict[str, tuple[int, ...]] = {}
+    for at in itertools.product((-1, 0, 1), repeat=len(axes)):
+        if sum(o < 0 for o in at) <= 1:
+            offsets["q" + "".join("m01"[o + 1] for o in at)] = at
+    n = neighbours(real(df, value), axes, value, offsets)
+    name = lambda at: F.col("q" + "".join("m01"[o + 1] for o in at))
+
+    def slope(d: int) -> Column:
+        out = None
+        for edge in itertools.product((0, 1), repeat=len(axes) - 1):
+            at = lambda o: (*edge[:d], o, *edge[d:])  # noqa: E731, B023
+            one = minmod(name(at(0)) - name(at(-1)), name(at(1)) - name(at(0)))
+            out = one if out is None else minmod(out, one)
+        return out
+
+    slopes = [slope(d).alias(f"_s{d}") for d in range(len(axes))]
+    kept = n.select(*[c for c in n.columns if c not in offsets], name((0,) * len(axes)).alias("_q"), *slopes)
+
+    def rule(f: dict[str, int]) -> Column:
+        v = F.col("_q")
+        for d, a in enumerate(axes):
+            if f[a]:
+                v = v + 0.5 * F.col(f"_s{d}")
+        return v
+
+    return _children(kept, axes, rule, df.columns, value)
+
+
+def prolong_tvd_cell(df: DataFrame, axes: list[str], value: str = "v") -> DataFrame:
+    """Cell-centred, order 1: the coarse value and a quarter of a minmod slope to either side, along each axis."""
+    zero = (0,) * len(axes)
+    step = lambda d, o: tuple(o if k == d else 0 for k in range(len(axes)))
+    offsets = {"q": zero} | {f"q{d}{'mp'[o > 0]}": step(d, o) for d in range(len(axes)) for o in (-1, 1)}
+    n = neighbours(real(df, value), axes, value, offsets)
+
+    def rule(f: dict[str, int]) -> Column:
+        v = F.col("q")
+        for d, a in enumerate(axes):
+            v = v + (0.25 if f[a] else -0.25) * minmod(F.col("q") - F.col(f"q{d}m"), F.col(f"q{d}p") - F.col("q"))
+        return v
+
+    return _children(n, axes, rule, df.columns, value)
+
+
+def prolong_eno_cell(df: DataFrame, axes: list[str], value: str = "v") -> DataFrame:
+    """Cell-centred parabolas: of the two stencils around a fine cell's side, the one with the smaller second difference; an axis at a time."""
+    for a in axes:
+        n = neighbours(real(df, value), [a], value, {"a": (-2,), "b": (-1,), "c": (0,), "d": (1,), "e": (2,)})
+        bend = lambda x, y, z: F.abs(F.col(x) - 2 * F.col(y) + F.col(z))
+
+        def rule(f: dict[str, int], axis: str = a) -> Column:
+            low, high = ((-2, -1, 0), (-1, 0, 1)) if not f[axis] else ((-1, 0, 1), (0, 1, 2))
+            value_of = lambda at: sum((w * F.col("abcde"[o + 2]) for o, w in stencils.cell_at(at, f[axis])), F.lit(0.0))
+            left = bend(*("abcde"[o + 2] for o in low)) < bend(*("abcde"[o + 2] for o in high))
+            return F.when(left, value_of(low)).otherwise(value_of(high))
+
+        df = _children(n, [a], rule, df.columns, value)
+    return df
+
+
+def prolong_monotone5(df: DataFrame, axes: list[str], value: str = "v") -> DataFrame:
+    """Vertex-centred order 5; a value outside the range of the 2, 4 or 8 nearest coarse points becomes their mean."""
+    real(df, value)
+    bounds = df
+    bounds = bounds.withColumns({"_lo": F.col(value), "_hi": F.col(value), "_m": F.col(value)}).drop(value)
+    rest = [c for c in bounds.columns if c not in (*axes, "_lo", "_hi", "_m")]
+    for a in axes:
+        others = [c for c in (*rest, *axes) if c != a]
+        parts = F.array(*[F.struct((2 * F.col(a) + o).alias("t")) for o in (-1, 0, 1)])
+        s = bounds.select(*others, "_lo", "_hi", "_m", F.explode(parts).alias("s")).groupBy(*others, F.col("s.t").alias(a))
+        whole = F.when(F.pmod(F.col(a), F.lit(2)) == 0, 1).otherwise(2)
+        bounds = s.agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.avg("_m").alias("_m"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == whole).drop("_n")
+    fine = prolong_vertex(df, axes, 5, value).join(bounds, [*rest, *axes])
+    kept = F.when(F.col(value).between(F.col("_lo"), F.col("_hi")), F.col(value)).otherwise(F.col("_m"))
+    return fine.withColumn(value, kept).select(*df.columns)
+
+
+def restrict_staggered(df: DataFrame, axes: list[str], code: str, value: str = "v") -> DataFrame:
+    """Means along the axes whose digit in the code ("011") is 1, every second point along the others."""
+    return restrict_mean(df, [a for a, c in zip(axes, code, strict=True) if c == "1"], value, [a for a, c in zip(axes, code, strict=True) if c == "0"])
+
+
+def copy_region(target: DataFrame, source: DataFrame, axes: list[str], box: dict[str, tuple[int, int]], value: str = "v") -> DataFrame:
+    """target with the values of source inside a box."""
+    inside = F.lit(True)
+    for a, (lo, hi) in box.items():
+        inside = inside & F.col(a).between(lo, hi)
+    j = target.join(source.where(inside).select(*axes, F.col(value).alias("_v"), F.lit(1).alias("_in")), axes, "left")
+    return j.withColumn(value, F.when(F.col("_in") == 1, F.col("_v")).otherwise(F.col(value))).select(*target.columns)
+
+
+def prolong_boundary(fine: DataFrame, coarse: DataFrame, axes: list[str], order: int, is_boundary: Column, value: str = "v") -> DataFrame:
+    """Boundary points of the fine level take the prolonged coarse value where there is one."""
+    p = prolong_vertex(coarse, axes, order, value).select(*axes, F.col(value).alias("_p"))
+    j = fine.withColumn("_b", is_boundary).join(p, axes, "left")
+    return j.withColumn(value, F.when(F.col("_b"), F.coalesce("_p", value)).otherwise(F.col(value))).select(*fine.columns)
+
+
+def time_derivative(df: DataFrame, keys: list[str], time: str, value: str, target: Column, levels: int, order: int) -> DataFrame:
+    """First or second time derivative, at a time, of the polynomial through the newest 2 or 3 levels of each key."""
+    if (order, levels) not in ((1, 2), (1, 3), (2, 3)):
+        raise ValueError("needs two or three levels for the first, three for the second derivative")
+    ranked = df.withColumn("_tl", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(time)))).where(F.col("_tl") <= levels)
+    g = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_tl", F.col(time).alias("t"), F.col(value).alias("v")))).alias("p")).where(F.size("p") == levels).withColumn("_at", target)
+    total = F.lit(0.0)
+    for i in range(levels):
+        gap, rest = F.lit(1.0), F.lit(0.0)
+        for j in range(levels):
+            if i != j:
+                gap = gap * (F.col("p")[i]["t"] - F.col("p")[j]["t"])
+                rest = rest + F.col("p")[j]["t"]
+        top = F.lit(1.0) if levels == 2 else 2 * F.col("_at") - rest if order == 1 else F.lit(2.0)
+        total = total + F.when(gap != 0, top / gap) * F.col("p")[i]["v"]
+    return g.select(*keys, total.alias(value))
+
+
+def jacobi(df: DataFrame, axes: list[str], source: str, sweeps: int, value: str = "v", every: int = 8) -> DataFrame:
+    """Sweeps of u = (sum of the neighbours - source) / (2 D) on interior points; others keep their value. One shuffle a sweep."""
+    zero = (0,) * len(axes)
+    offsets = {"_q": zero} | {f"_{d}{'mp'[o > 0]}": tuple(o if k == d else 0 for k in range(len(axes))) for d in range(len(axes)) for o in (-1, 1)}
+    around = [n for n in offsets if n != "_q"]
+    rhs, u = df.select(*axes, source), df.select(*axes, value)
+    for k in range(1, sweeps + 1):
+        n = neighbours(u, axes, value, offsets).join(rhs, axes)
+        total = sum((F.col(x) for x in around), F.lit(0.0))
+        u = n.select(*axes, F.coalesce((total - F.col(source)) / (2.0 * len(axes)), F.col("_q")).alias(value))
+        if k % every == 0 and df.sparkSession.sparkContext.getCheckpointDir():
+            u = u.checkpoint()
+    return u.join(rhs, axes).select(*df.columns)
+
+
+def residual(df: DataFrame, axes: list[str], source: str, value: str = "v") -> DataFrame:
+    """source - (sum of the neighbours - 2 D u) at interior points."""
+    zero = (0,) * len(axes)
+    offsets = {"_q": zero} | {f"_{d}{'mp'[o > 0]}": tuple(o if k == d else 0 for k in range(len(axes))) for d in range(len(axes)) for o in (-1, 1)}
+    n = neighbours(df.select(*axes, value), axes, value, offsets).join(df.select(*axes, source), axes)
+    total = sum((F.col(x) for x in offsets if x != "_q"), F.lit(0.0)) - 2.0 * len(axes) * F.col("_q")
+    return n.select(*axes, (F.col(source) - total).alias("residual")).where("residual IS NOT NULL")

@@ -53,3 +53,42 @@ def evolution_mask(coarse: DataFrame, fine: DataFrame, axes: list[str], factor:
     parents = fine.select(*[F.floor(F.col(a) / F.lit(float(factor))).cast("long").alias(a) for a in axes], *[F.pmod(F.col(a), F.lit(factor)).alias(f"_{a}") for a in axes]).distinct()
     full = parents.groupBy(*axes).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == factor ** len(axes)).select(*axes, F.lit(0).alias("_m"))
     return coarse.join(full, axes, "left").withColumn("mask", F.coalesce("_m", F.lit(1))).drop("_m")
+
+
+def ghost_mask(mask: Column, is_ghost: Column) -> Column:
+    return F.when(is_ghost, F.lit(0)).otherwise(mask)
+
+
+def refinement_mask(points: DataFrame, regions: DataFrame, axes: list[str], width: int, covered: bool) -> DataFrame:
+    """points with `octants`: the octants of their cells that lie in any region (lo, hi vertices, inclusive, of the same index space).
+
+    covered: for a coarse level, whose octants under a finer region count there: `iweight` loses them.
+    Otherwise, for the fine level itself: `iweight` keeps these alone. So no volume counts twice,
+    whatever regions overlap. A bucketed range join; regions add up by bits.
+    """
+    dim, every = len(axes), (1 << (1 << len(axes))) - 1
+    a0 = axes[0]
+    spread = F.sequence(F.floor(F.col(f"{a0}_lo") / F.lit(float(width))), F.floor(F.col(f"{a0}_hi") / F.lit(float(width))))
+    r = regions.select(*[f"{a}_{e}" for a in axes for e in ("lo", "hi")]).distinct().withColumn("_b", F.explode(spread))
+    p = points.select(*axes).distinct().withColumn("_b", F.floor(F.col(a0) / F.lit(float(width))))
+    near, bits = F.lit(True), F.lit(every)
+    for d, a in enumerate(axes):
+        near = near & F.col(a).between(F.col(f"{a}_lo"), F.col(f"{a}_hi"))
+        up = F.when(F.col(a) < F.col(f"{a}_hi"), half_space(d, True, dim)).otherwise(0)
+        down = F.when(F.col(a) > F.col(f"{a}_lo"), half_space(d, False, dim)).otherwise(0)
+        bits = bits.bitwiseAND(up.bitwiseOR(down))
+    inside = p.join(r, "_b").where(near).groupBy(*axes).agg(F.bit_or(bits).alias("octants"))
+    out = points.join(inside, axes, "left").withColumn("octants", F.coalesce("octants", F.lit(0)))
+    keep = F.bitwise_not("octants") if covered else F.col("octants")
+    return out.withColumn("iweight", F.col("iweight").bitwiseAND(keep).bitwiseAND(F.lit(every)))
+
+
+def classify(is_boundary: Column, is_used: Column, substeps: Column) -> Column:
+    """-1 on the boundary, 0 where unused, else the number of substeps up to which a point is used."""
+    return F.when(is_boundary, F.lit(-1)).when(~is_used, F.lit(0)).otherwise(substeps)
+
+
+def unused_mask(points: DataFrame, unused: DataFrame, axes: list[str]) -> DataFrame:
+    """points with `unused` 1 where a table of points says so, else 0."""
+    u = unused.select(*axes).distinct().withColumn("unused", F.lit(1))
+    return points.join(u, axes, "left").withColumn("unused", F.coalesce("unused", F.lit(0)))

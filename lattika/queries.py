@@ -179,17 +179,12 @@ def box_hull(spark, sf_dir):
     return boxes.hull(part_boxes(spark, sf_dir).withColumn("k", F.col("id") % 10), ["k"], ["x", "y"])
 
 
-@register("box_points", f"SELECT DISTINCT x, y FROM {BOX_SQL}, LATERAL (SELECT unnest(range(x_lo, x_hi+1)) AS x), LATERAL (SELECT unnest(range(y_lo, y_hi+1)) AS y) WHERE id % 5 = 0")
+@register("box_points", f"SELECT DISTINCT x, y FROM {BOX_SQL}, LATERAL (SELECT unnest(range(x_lo, x_hi+1)) AS x), LATERAL (SELECT unnest(range(y_lo, y_hi+1)) AS y)")
 def box_points(spark, sf_dir):
-    return boxes.points(part_boxes(spark, sf_dir).where("id % 5 = 0"), ["x", "y"])
-
-
-@register("box_points_whole")
-def box_points_whole(spark, sf_dir):
-    """box_points over all boxes."""
     return boxes.points(part_boxes(spark, sf_dir), ["x", "y"])
 
 
+
 BAND_SQL = "(SELECT s_suppkey AS id, (floor(s_acctbal)::BIGINT) AS x_lo, (floor(s_acctbal)::BIGINT) + 40 + s_suppkey % 60 AS x_hi FROM supplier)"
 
 
@@ -440,29 +435,18 @@ def cluster_holes(spark, sf_dir):
     return regrid.first_hole(regrid.signature(_sets(spark, sf_dir)[0], "i", F.col("j") < 1), "i", 2)
 
 
-@register("regrid_boxes", f"SELECT DISTINCT greatest(x_lo - 2 - (x_lo - 2 + 400) % 4, 0) AS x_lo, least(x_hi + 2 + (3 - (x_hi + 2)) % 4 + CASE WHEN (3 - (x_hi + 2)) % 4 < 0 THEN 4 ELSE 0 END, 95) AS x_hi FROM {BOX_SQL} WHERE id % 3 = 0")
+@register("regrid_boxes", f"SELECT DISTINCT greatest(x_lo - 2 - (x_lo - 2 + 400) % 4, 0) AS x_lo, least(x_hi + 2 + (3 - (x_hi + 2)) % 4 + CASE WHEN (3 - (x_hi + 2)) % 4 < 0 THEN 4 ELSE 0 END, 95) AS x_hi FROM {BOX_SQL}")
 def regrid_boxes(spark, sf_dir):
     """Buffers, granularity, clipping."""
-    b = part_boxes(spark, sf_dir).where("id % 3 = 0").select("x_lo", "x_hi")
+    b = part_boxes(spark, sf_dir).select("x_lo", "x_hi")
     return regrid.clip(regrid.granulate(regrid.add_buffers(b, ["x"], 2), ["x"], 4), ["x"], 0, 95).distinct()
 
 
-@register("regrid_symmetry", f"SELECT x_lo, x_hi FROM {BOX_SQL} WHERE id % 3 = 0 UNION SELECT -x_hi, -x_lo FROM {BOX_SQL} WHERE id % 3 = 0")
+@register("regrid_symmetry", f"SELECT x_lo, x_hi FROM {BOX_SQL} UNION SELECT -x_hi, -x_lo FROM {BOX_SQL}")
 def regrid_symmetry(spark, sf_dir):
-    return regrid.reflect(part_boxes(spark, sf_dir).where("id % 3 = 0").select("x_lo", "x_hi"), "x")
-
-
-@register("regrid_boxes_whole")
-def regrid_boxes_whole(spark, sf_dir):
-    """regrid_boxes over all boxes."""
-    b = part_boxes(spark, sf_dir).select("x_lo", "x_hi")
-    return regrid.clip(regrid.granulate(regrid.add_buffers(b, ["x"], 2), ["x"], 4), ["x"], 0, 95).distinct()
+    return regrid.reflect(part_boxes(spark, sf_dir).select("x_lo", "x_hi"), "x")
 
 
-@register("regrid_symmetry_whole")
-def regrid_symmetry_whole(spark, sf_dir):
-    """regrid_symmetry over all boxes."""
-    return regrid.reflect(part_boxes(spark, sf_dir).select("x_lo", "x_hi"), "x")
 
 
 # --- Movement and checks ------------------------------------------------------------------------------------
@@ -500,14 +484,7 @@ def checksum16(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.col("event_id") % 65536).alias("t")).select("user_id", scalars.ones_complement16(F.col("t")).alias("c"))
 
 
-@register("index_rounding", "SELECT l_partkey, l_suppkey, l_linenumber, floor(l_quantity/4 + 0.5)::BIGINT AS half_up, floor(l_quantity/4 + 0.75)::BIGINT AS slice, floor((l_quantity - 1)/8)::BIGINT AS block FROM lineitem WHERE l_orderkey % 10 = 0")
+@register("index_rounding", "SELECT l_partkey, l_suppkey, l_linenumber, floor(l_quantity/4 + 0.5)::BIGINT AS half_up, floor(l_quantity/4 + 0.75)::BIGINT AS slice, floor((l_quantity - 1)/8)::BIGINT AS block FROM lineitem")
 def index_rounding(spark, sf_dir):
-    q = F.col("l_quantity")
-    return read(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select("l_partkey", "l_suppkey", "l_linenumber", scalars.index_half_up(q / 4).alias("half_up"), scalars.index_slice(q / 4).alias("slice"), scalars.index_block(q, 1.0, 8).alias("block"))
-
-
-@register("index_rounding_whole")
-def index_rounding_whole(spark, sf_dir):
-    """index_rounding over all rows."""
     q = F.col("l_quantity")
     return read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", scalars.index_half_up(q / 4).alias("half_up"), scalars.index_slice(q / 4).alias("slice"), scalars.index_block(q, 1.0, 8).alias("block"))

@@ -22,14 +22,14 @@ def part_boxes(spark):
 
 def test_box_points_whole(spark):
     want = {(x, y) for a, b, c, d in part_boxes(spark) for x in range(a, b + 1) for y in range(c, d + 1)}
-    assert rows(QUERIES["box_points_whole"](spark, DATA).select("x", "y")) == Counter(want)
+    assert rows(QUERIES["box_points"](spark, DATA).select("x", "y")) == Counter(want)
 
 
 def test_regrid_whole(spark):
     found = {(max((a - 2) // 4 * 4, 0), min((b + 2) // 4 * 4 + 3, 95)) for a, b, _, _ in part_boxes(spark)}
-    assert rows(QUERIES["regrid_boxes_whole"](spark, DATA).select("x_lo", "x_hi")) == Counter(found)
+    assert rows(QUERIES["regrid_boxes"](spark, DATA).select("x_lo", "x_hi")) == Counter(found)
     both = {p for a, b, _, _ in part_boxes(spark) for p in ((a, b), (-b, -a))}
-    assert rows(QUERIES["regrid_symmetry_whole"](spark, DATA).select("x_lo", "x_hi")) == Counter(both)
+    assert rows(QUERIES["regrid_symmetry"](spark, DATA).select("x_lo", "x_hi")) == Counter(both)
 
 
 def test_index_rounding_whole(spark):
@@ -37,4 +37,4 @@ def test_index_rounding_whole(spark):
     for r in spark.read.parquet(f"{DATA}/lineitem.parquet").collect():
         q = r.l_quantity
         want[r.l_partkey, r.l_suppkey, r.l_linenumber, math.floor(q / 4 + 0.5), math.floor(q / 4 + 0.75), math.floor((q - 1) / 8)] += 1
-    assert rows(QUERIES["index_rounding_whole"](spark, DATA).select("l_partkey", "l_suppkey", "l_linenumber", "half_up", "slice", "block")) == want
+    assert rows(QUERIES["index_rounding"](spark, DATA).select("l_partkey", "l_suppkey", "l_linenumber", "half_up", "slice", "block")) == want
