@@ -28,10 +28,12 @@ columns are ignored. One conversation is one output string, so it must fit a row
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattika.llm.common import running
+from lattika.llm.common import let, running
 
 START, END = "<|im_start|>", "<|im_end|>"
 ESCAPABLE = r"<(\\*)\|(im_start|im_end)\|>"
@@ -79,28 +81,38 @@ def parse_turn(p: Column) -> Column:
 def parse(formatted: Column) -> Column:
     """Array of struct(role, text) of a rendered conversation; null if any of it is not of the grammar."""
     pieces = F.split(formatted, r"<\|im_start\|>", -1)
-    turns = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), parse_turn)
-    return F.when((F.element_at(pieces, 1) == "") & ~F.exists(turns, lambda t: t.isNull()), turns)
+
+    def read(ps: Column) -> Column:
+        turns = F.transform(F.slice(ps, F.lit(2), F.greatest(F.size(ps) - 1, F.lit(0))), parse_turn)
+        return let(turns, lambda ts: F.when((F.element_at(ps, 1) == "") & ~F.exists(ts, lambda t: t.isNull()), ts))
+
+    return let(pieces, read)
 
 
 def recovered(role: Column, text: Column) -> Column:
     """The turn that the parser finds in a rendered one; null if it finds none or several."""
-    turns = parse(render_turn(role, text))
-    return F.when(F.size(turns) == 1, F.get(turns, F.lit(0)))
+    return let(parse(render_turn(role, text)), lambda turns: F.when(F.size(turns) == 1, F.get(turns, F.lit(0))))
+
+
+def _side(source: Column, read: Callable[[Column], Column], more: Callable[[Column], Column]) -> Column:
+    """struct(shown, ok, rounds): source, escaped once more for each round in which read(shown) is not the source."""
+    start = F.struct(source.alias("shown"), F.lit(False).alias("ok"), F.lit(0).alias("rounds"))
+
+    def step(acc: Column, _: Column) -> Column:
+        same = F.coalesce(read(acc["shown"]) == source, F.lit(False))
+        tried = let(same, lambda ok: F.struct(F.when(ok, acc["shown"]).otherwise(more(acc["shown"])).alias("shown"), ok.alias("ok"), (acc["rounds"] + F.when(ok, 0).otherwise(1)).alias("rounds")))
+        return F.when(acc["ok"], acc).otherwise(tried)
+
+    return F.aggregate(F.array(*[F.lit(k) for k in range(ROUNDS)]), start, step)
 
 
 def escaped(rows: DataFrame) -> DataFrame:
     """rows with shown_role and shown_text, which the parser reads back as role and text, and the number of rounds it took."""
-    d = rows.withColumn("shown_role", F.col("role")).withColumn("shown_text", F.col("text")).withColumn("rounds", F.lit(0))
-    for _ in range(ROUNDS):
-        # Each side is tried with a harmless other side, to see which of them conflicts.
-        role_ok = F.coalesce(recovered(F.col("shown_role"), F.lit(""))["role"] == F.col("role"), F.lit(False))
-        text_ok = F.coalesce(recovered(F.lit("x"), F.col("shown_text"))["text"] == F.col("text"), F.lit(False))
-        d = d.withColumn("_ok", F.struct(role_ok.alias("role"), text_ok.alias("text")))
-        d = d.withColumn("shown_role", F.when(F.col("_ok.role"), F.col("shown_role")).otherwise(escape_role(F.col("shown_role"))))
-        d = d.withColumn("shown_text", F.when(F.col("_ok.text"), F.col("shown_text")).otherwise(escape(F.col("shown_text"))))
-        d = d.withColumn("rounds", F.col("rounds") + (~F.col("_ok.role") | ~F.col("_ok.text")).cast("int")).drop("_ok")
-    return d
+    # Each side is tried with a harmless other side, to see which of them conflicts.
+    role = _side(F.col("role"), lambda r: recovered(r, F.lit(""))["role"], escape_role)
+    text = _side(F.col("text"), lambda t: recovered(F.lit("x"), t)["text"], escape)
+    d = rows.select("*", F.array(F.struct(role.alias("role"), text.alias("text"))).alias("_s")).select("*", F.explode("_s").alias("_t")).drop("_s")
+    return d.select(*rows.columns, F.col("_t.role.shown").alias("shown_role"), F.col("_t.text.shown").alias("shown_text"), F.greatest("_t.role.rounds", "_t.text.rounds").alias("rounds"))
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
