@@ -9,7 +9,9 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from typing import Any
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,3 +143,16 @@ def by_value(module: str) -> None:
 
 
 by_value(__name__)
+
+
+def shared(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast that carries the classes of its value along; read it with `opened`."""
+    from pyspark import cloudpickle
+
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(held: Broadcast) -> Any:
+    import pickle
+
+    return pickle.loads(held.value)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattika.llm import kernels
-from lattika.llm.common import by_value, fresh
+from lattika.llm.common import by_value, fresh, opened, shared
 
 by_value(__name__)
 
@@ -185,15 +185,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
         items = Items([tuple(r) for r in rows], similarity, least, repeats, bits, steps)
         if not len(items.ids):
             continue
-        shared = spark.sparkContext.broadcast(items)
-        part = texts.mapInArrow(_runner(shared), schema)
+        part = texts.mapInArrow(_runner(shared(spark, items)), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def _runner(shared):
+def _runner(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
+        items = opened(held)
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in kernels._runs(np.array([len(t or "") + 1 for t in texts], np.int64), SLICE):

@@ -10,7 +10,9 @@ do, however long a document is.
 
 Defined results: null text counts as empty; empty and blank texts are documents
 like any other (all empty ones are one group, all blank ones another); rows that
-repeat a doc_id with an equal text are the same document; other columns are ignored.
+repeat a doc_id with an equal text are the same document, so all of them are kept or none;
+a null doc_id comes before none and is a kept one only among its like; an empty table gives no
+rows; other columns are ignored. A text is cut as a whole, however long, within its row.
 """
 
 from __future__ import annotations
@@ -47,9 +49,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not collided.isEmpty():
         recipes = _disambiguated(recipes, exploded, pairs, collided)
     recipes = cut(recipes)
-    groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    spread = F.array(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("doc_id"), F.lit(-1))
-    out = attach_groups(recipes, groups, "recipe", "group_size", ["keep_id", "group_size"], spread)
+    # Lists decide who is equal; the answer goes back by the digest, which equal texts share and whose size is fixed.
+    groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.min("text_sha256").alias("digest")).drop("recipe")
+    spread = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    out = attach_groups(recipes, groups.withColumnRenamed("digest", "text_sha256"), "text_sha256", "group_size", ["keep_id", "group_size"], spread)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattika.llm import kernels
-from lattika.llm.common import by_value, words
+from lattika.llm.common import by_value, opened, shared, words
 
 by_value(__name__)
 
@@ -292,10 +292,10 @@ class Tagger:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(shared.value)
+        tagger = Tagger(opened(held))
         for b in batches:
             for part in _slices(b):
                 lang, score = tagger.label(part.column(2).to_pylist())
@@ -314,11 +314,11 @@ def _slices(b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """docs without the rows whose language is unknown or unsure; the decision is made in the same pass."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    held, names = shared(docs.sparkSession, model), docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(shared.value)
+        tagger = Tagger(opened(held))
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
