@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,9 +23,10 @@ def hyperslab(df: DataFrame, axes: list[str], slab: Slab, value: str = "v", name
     """All points of the slab with output indices from 0; points that df lacks are 0."""
     spark = df.sparkSession
     names = names or [f"s{k}" for k in range(len(slab.length))]
-    grid = spark.range(1)
-    for n, length in zip(names, slab.length, strict=True):
-        grid = grid.withColumn(n, F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
+    grid, step = spark.range(math.prod(slab.length)), 1  # in as many tasks as the session has
+    for n, length in zip(reversed(names), reversed(slab.length), strict=True):
+        grid = grid.withColumn(n, (F.floor(F.col("id") / F.lit(step)) % length).cast("int"))
+        step *= length
     for d, a in enumerate(axes):
         at = F.lit(slab.origin[d])
         for n, direction, stride in zip(names, slab.directions, slab.stride, strict=True):
@@ -47,8 +49,6 @@ def diagonal(df: DataFrame, axes: list[str]) -> DataFrame:
 
 def slice_offset(local_coord=None, local_index=None, global_coord=None, global_index=None, default=0.0, origin: float = 0.0, delta: float = 1.0) -> int:
     """Index of a slice: a group's coordinate, its index, the global coordinate, the global index, then the default coordinate."""
-    import math
-
     at = lambda x: math.floor((x - origin) / delta + 0.75)
     if local_coord is not None:
         return at(local_coord)

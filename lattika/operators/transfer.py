@@ -88,13 +88,11 @@ def minmod(a: Column, b: Column) -> Column:
 
 
 def prolong_tvd(df: DataFrame, axis: str, across: list[str], value: str = "v") -> DataFrame:
-    """Order 1 with a minmod slope of the coarse neighbours: fine 2i + f is v_i + f / 2 of the slope."""
-    w = Window.partitionBy(*across).orderBy(axis)
-    lag, lead = F.lag(value).over(w), F.lead(value).over(w)
-    near = (F.lag(axis).over(w) == F.col(axis) - 1) & (F.lead(axis).over(w) == F.col(axis) + 1)
-    slope = F.when(near, minmod(F.col(value) - lag, lead - F.col(value))).otherwise(F.lit(0.0))
-    d = df.withColumn("_s", slope).withColumn("_f", F.explode(F.array(F.lit(0), F.lit(1))))
-    return d.select(*[((2 * F.col(axis) + F.col("_f")).alias(axis) if c == axis else (F.col(value) + 0.5 * F.col("_f") * F.col("_s")).alias(value) if c == value else F.col(c)) for c in df.columns])
+    """Order 1 with a minmod slope of the coarse neighbours: fine 2i + f is v_i + f / 2 of the slope; 0 at the ends."""
+    n = neighbours(real(df, value), [axis], value, {"_a": (-1,), "_b": (0,), "_c": (1,)})
+    slope = F.coalesce(minmod(F.col("_b") - F.col("_a"), F.col("_c") - F.col("_b")), F.lit(0.0))
+    kept = n.select(axis, *across, "_b", slope.alias("_s"))
+    return _children(kept, [axis], lambda f: F.col("_b") + 0.5 * f[axis] * F.col("_s"), df.columns, value)
 
 
 def eno_midpoint(q1: Column, q2: Column, q3: Column, q4: Column) -> Column:
@@ -105,14 +103,12 @@ def eno_midpoint(q1: Column, q2: Column, q3: Column, q4: Column) -> Column:
 
 
 def _between(df: DataFrame, axis: str, across: list[str], value: str, rule) -> DataFrame:
-    """Even fine points copied, odd ones by rule(q1, q2, q3, q4) where four neighbours exist."""
-    w = Window.partitionBy(*across).orderBy(axis)
-    q = [F.lag(value).over(w), F.col(value), F.lead(value).over(w), F.lead(value, 2).over(w)]
-    whole = (F.lag(axis).over(w) == F.col(axis) - 1) & (F.lead(axis, 2).over(w) == F.col(axis) + 2)
-    d = df.withColumn("_m", F.when(whole, rule(*q)))
-    even = d.withColumn(axis, 2 * F.col(axis)).select(df.columns)
-    odd = d.where(F.col("_m").isNotNull()).withColumn(axis, 2 * F.col(axis) + 1).withColumn(value, F.col("_m")).select(df.columns)
-    return even.unionByName(odd)
+    """Even fine points copied, odd ones by rule(q1, q2, q3, q4) where four neighbours have values."""
+    n = neighbours(real(df, value), [axis], value, {"_a": (-1,), "_b": (0,), "_c": (1,), "_d": (2,)})
+    q = [F.col(x) for x in ("_a", "_b", "_c", "_d")]
+    whole = q[0].isNotNull() & q[1].isNotNull() & q[2].isNotNull() & q[3].isNotNull()
+    kept = n.select(axis, *across, "_b", F.when(whole, rule(*q)).alias("_m"))
+    return _children(kept, [axis], lambda f: F.col("_m") if f[axis] else F.col("_b"), df.columns, value)
 
 
 def prolong_eno(df: DataFrame, axis: str, across: list[str], value: str = "v") -> DataFrame:

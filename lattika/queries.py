@@ -294,7 +294,7 @@ _NEAR = f"SELECT i, v, lag(v) OVER w AS a, lead(v) OVER w AS c, lead(v, 2) OVER
 WITH n AS ({_NEAR}), s AS (SELECT i, v, CASE WHEN pi = i-1 AND ni = i+1 THEN (CASE WHEN (v-a)*(c-v) < 0 THEN 0.0 WHEN abs(v-a) < abs(c-v) THEN v-a ELSE c-v END) ELSE 0.0 END AS s FROM n)
 SELECT 2*i+f AS i, round(v + 0.5*f*s, 6) AS v FROM s, (SELECT unnest([0, 1]) AS f)""")
 def prolong_tvd(spark, sf_dir):
-    return transfer.prolong_tvd(line(spark, sf_dir).withColumn("_all", F.lit(0)), "i", ["_all"]).select("i", F.round("v", 6).alias("v"))
+    return transfer.prolong_tvd(line(spark, sf_dir), "i", []).select("i", F.round("v", 6).alias("v"))
 
 
 _ENO = "CASE WHEN abs(l) < abs(r) THEN (-a+6*v+3*c)/8 ELSE (3*v+6*c-d)/8 END"
@@ -305,7 +305,7 @@ WITH n AS ({_NEAR}), s AS (SELECT *, a+c-2*v AS l, v+d-2*c AS r FROM n), e AS (S
 SELECT 2*i AS i, round(v, 6) AS v FROM n UNION ALL
 SELECT 2*i+1, round(CASE WHEN (e-v)*(c-e) < 0 OR l*r <= 0 THEN (v+c)/2 ELSE e END, 6) FROM e WHERE pi = i-1 AND mi = i+2""")
 def prolong_eno(spark, sf_dir):
-    return transfer.prolong_eno(line(spark, sf_dir).withColumn("_all", F.lit(0)), "i", ["_all"]).select("i", F.round("v", 6).alias("v"))
+    return transfer.prolong_eno(line(spark, sf_dir), "i", []).select("i", F.round("v", 6).alias("v"))
 
 
 @register("prolong_monotone", f"""
@@ -313,7 +313,7 @@ WITH n AS ({_NEAR}), e AS (SELECT *, (-a+9*v+9*c-d)/16 AS e FROM n)
 SELECT 2*i AS i, round(v, 6) AS v FROM n UNION ALL
 SELECT 2*i+1, round(CASE WHEN e BETWEEN least(v, c) AND greatest(v, c) THEN e ELSE (v+c)/2 END, 6) FROM e WHERE pi = i-1 AND mi = i+2""")
 def prolong_monotone(spark, sf_dir):
-    return transfer.prolong_monotone(line(spark, sf_dir).withColumn("_all", F.lit(0)), "i", ["_all"]).select("i", F.round("v", 6).alias("v"))
+    return transfer.prolong_monotone(line(spark, sf_dir), "i", []).select("i", F.round("v", 6).alias("v"))
 
 
 # --- Time levels -------------------------------------------------------------------------------------
