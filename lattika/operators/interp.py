@@ -55,3 +55,17 @@ def eno2(points: DataFrame, grid: DataFrame, axis: str, value: str = "v", key: s
     by_left = b + f * (c - b) + f * (f - 1) / 2 * left
     by_right = b + f * (c - b) + f * (f - 1) / 2 * right
     return p.join(n, "_i", "left").select(key, F.when(F.abs(left) <= F.abs(right), by_left).otherwise(by_right).alias(value))
+
+
+def interpolate(points: DataFrame, grids: dict[int, DataFrame], axes: list[str], values: list[str], order: int = 1, source_map: int | None = None, operands: list[int] | None = None, key: str = "point_id") -> DataFrame:
+    """Several variables at points of several maps: `map` of a point, or `source_map` for all; `operands` picks outputs by number, with repeats."""
+    stencils, out = plan(points, axes, order, key), None
+    for m, grid in grids.items():
+        own = stencils if source_map is not None else stencils.join(points.where(F.col("map") == m).select(key), key, "left_semi")
+        if source_map is None or m == source_map:
+            part = apply(own, grid, axes, values, order, key)
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no map to interpolate from")
+    chosen = [values[k] for k in operands] if operands is not None else values
+    return out.select(key, *[F.col(v).alias(f"out{k}") for k, v in enumerate(chosen)], "status")

@@ -214,3 +214,67 @@ def test_evolution_recipe(spark, tmp_path):
     due = spark.range(1, 5).select(levels.due(F.col("id"), F.lit(0), 1).alias("d")).collect()
     assert [r.d for r in due] == [True, False, True, False]
     assert slabs.slice_offset(global_coord=0.5, global_index=3, delta=0.25) == 2 and math.isclose(slabs.slice_offset(local_index=7, global_coord=1.0), 7)
+
+
+def test_regrid_modes(spark):
+    from lattika.operators import modes
+
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(modes.base_level(spark, ["x"])) == []
+    assert rows(modes.centre(spark, {"x": (0, 16), "y": (0, 8)}, 3)) == [(1, 8, 24, 4, 12), (2, 24, 40, 12, 20)]
+    assert rows(modes.gridpoint_list(spark, ["x"], [[{"x": (1, 5)}, {"x": (8, 9)}], [{"x": (4, 6)}]])) == [(1, 1, 5), (1, 8, 9), (2, 4, 6)]
+    assert rows(modes.coordinate_list(spark, ["x"], [[{"x": (-0.5, 0.5)}]], -1.0, 0.1)) == [(1, 10, 30)]
+    assert rows(modes.moving(spark, ["x"], [0.0], [1.0], [0.5, 0.25], 0.5, -1.0, 0.5)) == [(1, 4, 8), (2, 10, 14)]
+    d = spark.createDataFrame([(0, 2.0), (5, float("nan")), (9, float("inf")), (13, 0.1)], "x long, e double")
+    assert rows(modes.automatic(d, ["x"], "e", 1.0, 4)) == [(1, 0, 7)]
+    assert modes.same_on_maps(d, 3).count() == 12
+    got = modes.gaussian_flags(spark.createDataFrame([(0.0,), (2.0,)], "x double"), ["x"], 1.0, 3.0).collect()
+    assert [r.level_mask for r in got] == [3, 0]
+
+
+def test_hooks(spark):
+    from lattika.functions.reductions import reduction
+    from lattika.plans.hooks import Schedule, register_reduction, unregister_reduction
+
+    d = spark.createDataFrame([(2.0, 1.0), (5.0, 0.0), (7.0, 2.0)], "x double, w double")
+    register_reduction("spread", lambda x, w, strict=False: F.max(F.when(w != 0, x)) - F.min(F.when(w != 0, x)))
+    assert d.agg(reduction("spread", "x", "w").alias("a"), reduction("ispread", "x", "w").alias("b")).first() == (5.0, 5.0)
+    with pytest.raises(ValueError):
+        register_reduction("sum", lambda x, w, strict=False: F.sum(x))
+    unregister_reduction("spread")
+    s = Schedule()
+    s.add("evol", "b", lambda t: {"u": t["u"].withColumn("x", F.col("x") * 2)}, after=("a",))
+    s.add("evol", "a", lambda t: {"u": t["u"].withColumn("x", F.col("x") + 1)})
+    s.add("evol", "c", lambda t: {}, before=("a",))
+    assert s.order("evol") == ["c", "a", "b"] and [r.x for r in s.run("evol", {"u": d})["u"].collect()] == [6.0, 12.0, 16.0]
+    s.add("evol", "c", lambda t: {}, after=("b",))
+    with pytest.raises(ValueError):
+        s.order("evol")
+
+
+def test_tools(spark):
+    from lattika.sources import tools
+
+    d = spark.createDataFrame([(0, 1, 2, 1.0), (1, 1, 2, 5.0), (0, 3, 2, 2.0), (0, 3, 4, 9.0)], "rl int, i int, j int, v double")
+    assert sorted(map(tuple, tools.slicer(d, ["i"], {"j": 2}).collect())) == [(1, 1, 5.0), (3, 0, 2.0)]
+    chunks = spark.createDataFrame([(1, 0, 1.0), (0, 0, 2.0), (1, 1, 3.0)], "c int, i int, v double")
+    assert sorted(map(tuple, tools.recombine(chunks, ["i"]).collect())) == [(0, 2.0), (1, 3.0)]
+    text_ = "[ [ ([0,0]:[40,40]:[4,4]) ], [ ([2,4]:[10,12]:[2,2]), ([20,20]:[30,30]:[2,2]) ] ]"
+    r = tools.parse_regions(spark, text_, ["x", "y"])
+    assert sorted(map(tuple, r.collect()))[1] == (1, 0, 2, 10, 4, 12, 2)
+    assert sorted(x.region for x in tools.dump_regions(r, ["x", "y"]).collect()) == sorted(["([0,0]:[40,40]:[4,4])", "([2,4]:[10,12]:[2,2])", "([20,20]:[30,30]:[2,2])"])
+    with pytest.raises(ValueError):
+        tools.parse_regions(spark, "[ [ ([0]:[4]:[1]) ]", ["x"])
+    assert tools.output_options(9, True)["compression"] == "zstd" and tools.output_options(0)["compression"] == "uncompressed"
+
+
+def test_multigrid_cycle_and_interpolation_of_maps(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    d = spark.createDataFrame([(i, 1.0, 0.0) for i in range(17)], "i long, b double, v double")
+    size = lambda df: transfer.residual(df, ["i"], "b").agg(F.sqrt(F.sum(F.col("residual") ** 2))).first()[0]
+    assert size(transfer.two_grid(d, ["i"], "b", coarse=30)) < 0.6 * size(transfer.jacobi(d, ["i"], "b", 12))
+    grids = {m: line(spark, [m + 1.0 * i for i in range(4)]).withColumn("u", -F.col("v")) for m in (0, 10)}
+    pts = spark.createDataFrame([(1, 0.5, 0), (2, 1.5, 10)], "point_id long, i double, map int")
+    got = {r.point_id: (r.out0, r.out1, r.status) for r in interp.interpolate(pts, grids, ["i"], ["v", "u"], operands=[1, 0]).collect()}
+    assert got == {1: (-0.5, 0.5, 0), 2: (-11.5, 11.5, 0)}
+    assert {r.point_id: r.out0 for r in interp.interpolate(pts, grids, ["i"], ["v"], source_map=0).collect()} == {1: 0.5, 2: 1.5}
