@@ -191,23 +191,30 @@ def bisect(flags: DataFrame, axes: list[str], box: dict[str, tuple[int, int]], f
     The halvings of a point's box don't depend on the flags, so each point lists the boxes that it may end in and
     one aggregation by box decides on all levels at once; a point takes its first box that stays.
     """
-    lo, hi = {a: F.lit(box[a][0]) for a in axes}, {a: F.lit(box[a][1]) for a in axes}
-    d = flags.where(flagged).select(*axes)
+    d, order, span = flags.where(flagged).select(*axes), [], {a: box[a][1] - box[a][0] + 1 for a in axes}
     for a in axes:
-        d = d.where(F.col(a).between(*box[a])).withColumn(f"{a}_lo", lo[a]).withColumn(f"{a}_hi", hi[a])
-    steps, span = [], {a: box[a][1] - box[a][0] + 1 for a in axes}
+        d = d.where(F.col(a).between(*box[a]))
     while True:
         a = max(axes, key=lambda x: span[x])  # all boxes of a depth have about the same extent; the first of equal axes
-        last = span[a] < 2 * min_width
-        steps.append(F.struct(F.lit(len(steps)).alias("depth"), F.lit(last).alias("narrow"), *[F.col(f"{x}_{e}@{len(steps)}").alias(f"{x}_{e}") for x in axes for e in ("lo", "hi")]))
-        d = d.withColumns({f"{x}_{e}@{len(steps) - 1}": F.col(f"{x}_{e}") for x in axes for e in ("lo", "hi")})
-        if last:
+        if span[a] < 2 * min_width:
             break
-        mid = F.floor((F.col(f"{a}_lo") + F.col(f"{a}_hi") + 1) / 2).cast("int")
-        upper = F.col(a) >= mid
-        d = d.withColumn("_u", upper).withColumn("_m", mid).withColumn(f"{a}_lo", F.when(F.col("_u"), F.col("_m")).otherwise(F.col(f"{a}_lo"))).withColumn(f"{a}_hi", F.when(F.col("_u"), F.col(f"{a}_hi")).otherwise(F.col("_m") - 1)).drop("_u", "_m")
+        order.append(axes.index(a))
         span[a] = -(-span[a] // 2)
-    paths = d.select(*axes, F.array(*steps).alias("path"))
+    names = [f"{a}_{e}" for a in axes for e in ("lo", "hi")]
+    root = F.struct(F.lit(0).alias("depth"), F.lit(not order).alias("narrow"), *[F.lit(box[a][k]).cast("long").alias(f"{a}_{e}") for a in axes for k, e in enumerate(("lo", "hi"))])
+
+    def halve(path: Column, axis: Column) -> Column:
+        last, new = F.element_at(path, -1), []
+        for k, a in enumerate(axes):
+            low, high = last[f"{a}_lo"], last[f"{a}_hi"]
+            mid = F.floor((low + high + 1) / 2).cast("long")
+            upper = F.col(a) >= mid
+            new.append(F.when((axis == k) & upper, mid).otherwise(low).alias(f"{a}_lo"))
+            new.append(F.when((axis == k) & ~upper, mid - 1).otherwise(high).alias(f"{a}_hi"))
+        return F.concat(path, F.array(F.struct((last["depth"] + 1).alias("depth"), (last["depth"] + 1 == len(order)).alias("narrow"), *new)))
+
+    kind = f"array<struct<depth:int,narrow:boolean,{','.join(f'{n}:bigint' for n in names)}>>"
+    paths = d.select(*axes, F.aggregate(F.array(*[F.lit(k) for k in order]).cast("array<int>"), F.array(root).cast(kind), lambda path, axis: halve(path, axis).cast(kind)).alias("path"))
     each = paths.select(*axes, F.explode("path").alias("b"))
     volume = F.lit(1).cast("long")
     for a in axes:
