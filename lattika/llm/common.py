@@ -57,10 +57,10 @@ def _release(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Like cut, as Parquet in the shared folder: for tables whose rows are large and do not compress. Removed at exit."""
+    """Like cut, as Parquet in the shared folder: for tables whose rows are large. Removed at exit."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").option("parquet.enable.dictionary", "false").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").option("parquet.enable.dictionary", "false").parquet(path)
     atexit.register(_remove, spark, path)
     del df
     _release(spark)
