@@ -83,12 +83,12 @@ def features(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     gram = np.zeros((n, width), np.uint64)
     for k in range(1, 5):
         gram = gram[:, : width - k + 1] * np.uint64(257) + mat[:, k - 1 :]
-        index.append(kernels.mixed(gram + np.uint64(k << 40)) & np.uint64(SIZE - 1))
+        index.append((kernels.mixed(gram + np.uint64(k << 40)) & np.uint64(SIZE - 1)).astype(np.int32))
         there.append(np.arange(width - k + 1)[None, :] <= (size + 2 - k)[:, None])
     whole = (mat * kernels.powers(1_000_003, width)[None, :]).sum(axis=1, dtype=np.uint64)
-    index.append(kernels.mixed(whole + np.uint64(9 << 40))[:, None] & np.uint64(SIZE - 1))
+    index.append((kernels.mixed(whole + np.uint64(9 << 40))[:, None] & np.uint64(SIZE - 1)).astype(np.int32))
     there.append(np.ones((n, 1), bool))
-    return np.concatenate(index, axis=1).astype(np.int32), np.concatenate(there, axis=1)
+    return np.concatenate(index, axis=1), np.concatenate(there, axis=1)
 
 
 def emissions(model: Model, tokens: list[bytes]) -> np.ndarray:
@@ -149,20 +149,21 @@ def fit(rows: list[tuple[str, list[str]]], rounds: int = ROUNDS, rate: float = R
     index, there = features(list(vocab))
     counts = there.sum(axis=1)
     flat, cuts, scale = index[there], np.cumsum(counts) - counts, 1 / np.sqrt(counts)
+    del index, there
     gold = np.zeros((k, k))
     np.add.at(gold, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
     start = np.bincount(y[:, 0], minlength=k)
     params = [model.weights, model.moves, model.first]
     first_moment, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, rounds + 1):
-        e = np.add.reduceat(model.weights[flat], cuts, axis=0) * scale[:, None]
+        # A language at a time, so that the driver holds one column of all features.
+        e = np.stack([np.add.reduceat(model.weights[:, j][flat], cuts) for j in range(k)], axis=1) * scale[:, None]
         marginal, pairs = _forward_backward(e[x], model.moves, model.first)
         diff = marginal.copy()
         np.subtract.at(diff, (np.arange(len(x))[:, None], np.arange(SEQUENCE)[None, :], y), 1.0)
         n = x.size
         by_word = np.stack([np.bincount(x.ravel(), diff[:, :, j].ravel(), len(vocab)) for j in range(k)], axis=1) * scale[:, None]
-        spread = np.repeat(by_word, counts, axis=0)
-        grad_w = np.stack([np.bincount(flat, spread[:, j], SIZE) for j in range(k)], axis=1) / n + 1e-7 * model.weights
+        grad_w = np.stack([np.bincount(flat, np.repeat(by_word[:, j], counts), SIZE) for j in range(k)], axis=1) / n + 1e-7 * model.weights
         grads = [grad_w, (pairs - gold) / n, (marginal[:, 0].sum(axis=0) - start) / len(x)]
         for p, g, m, v in zip(params, grads, first_moment, second, strict=True):  # Adam
             m += 0.1 * (g - m)
