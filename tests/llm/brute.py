@@ -106,3 +106,20 @@ def line_repeats(rows: list[tuple[int, str | None]], threshold: float = 0.8) ->
     lines = [(d, i, set(words(x))) for d, t in sorted(rows, key=lambda r: r[0]) for i, x in enumerate((t or "").split("\n"))]
     lines = [x for x in lines if x[2]]
     return {(d, i) for k, (d, i, w) in enumerate(lines) if any(len(w & v) >= threshold * len(w | v) - 1e-12 for _, _, v in lines[:k])}
+
+
+def line_links(rows: list[tuple[int, str | None]], threshold: float = 0.8) -> dict[tuple[int, int], tuple]:
+    """By (doc_id, line_no) of each line with words: earliest similar line before it or None, earliest line of its class, number of different similar lines."""
+    lines = [((d, i), x, frozenset(words(x))) for d, t in sorted(rows, key=lambda r: r[0]) for i, x in enumerate((t or "").split("\n"))]
+    lines = [x for x in lines if x[2]]
+    near = {p: [(q, y) for q, y, v in lines if q != p and len(w & v) >= threshold * len(w | v) - 1e-12] for p, _, w in lines}
+    root = {}
+    for p, _, _ in lines:  # in order, so the first to reach a line is the earliest
+        todo = [p]
+        while todo:
+            q = todo.pop()
+            if q not in root:
+                root[q] = p
+                todo += [r for r, _ in near[q]]
+    equal = {p: next(q for q, y, _ in lines if y == x) for p, x, _ in lines}
+    return {p: (equal[p] if equal[p] != p else min((q for q, _ in near[p] if q < p), default=None), root[p], len({y for _, y in near[p] if y != x})) for p, x, _ in lines}
