@@ -47,6 +47,7 @@ SIMILARITY, LEAST = 0.8, 5
 REPEATS, BITS, STEPS = 14, 6, 12
 OFFSETS = 8
 SLICE = 4 << 20  # bytes of text handled at once, about
+PART = 1 << 13  # words keyed at once
 ITEM_WORDS = 2_000_000  # of one block of items
 PUNCTUATION = bytes(32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
 
@@ -60,15 +61,31 @@ def edits_allowed(m: int, similarity: float = SIMILARITY) -> int:
 
 
 def sampled(words: np.ndarray, start: np.ndarray, steps: np.ndarray, seed: int) -> np.ndarray:
-    """Key of the given steps (ascending) of the CGK walk from each start; words go on for as many steps."""
-    bits, at = kernels.mixed(words ^ kernels.random_words(1, seed)), start.copy()
-    key, k = np.zeros(len(start), np.uint64), 0
-    for t in range(int(steps[-1]) + 1):
-        if t == steps[k]:
-            key = (key ^ words[at]) * np.uint64(kernels.MIX1)
-            k += 1
-        at += ((bits >> np.uint64(t))[at] & np.uint64(1)).astype(np.int64)
-    return kernels.mixed(key)
+    """Key of the given steps (ascending) of the CGK walk from each start; words go on for as many steps.
+
+    The walks from all words are keyed at once from their last step back, as the walk from a word at step t is that
+    from it or from the next word at step t + 1: so neighbours are chosen from, in parts that stay in the cache.
+    """
+    last, mix = int(steps[-1]), np.uint64(kernels.MIX1)
+    turn, taken = kernels.random_words(1, seed), {int(t) for t in steps}
+    out = np.empty(max(0, len(words) - last), np.uint64)
+    for lo in range(0, len(out), PART):
+        w = words[lo : min(lo + PART, len(out)) + last]
+        bits = kernels.mixed(w ^ turn)
+        key = w * mix
+        for t in range(last - 1, -1, -1):
+            # Arithmetic instead of a branch: all ones where the bit is set.
+            moves = bits[: len(key) - 1] >> np.uint64(t)
+            moves &= np.uint64(1)
+            np.negative(moves, out=moves)
+            moves &= key[1:] ^ key[:-1]
+            moves ^= key[:-1]
+            key = moves
+            if t in taken:
+                key ^= w[: len(key)]
+                key *= mix
+        out[lo : lo + PART] = kernels.mixed(key)
+    return out[start]
 
 
 def best_edits(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
