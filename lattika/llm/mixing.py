@@ -102,9 +102,12 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     # Rows of one doc_id, source and text are alike to the mix, so any of its rows for them fits.
     own = F.md5(F.concat_ws("\x01", F.col("doc_id").cast("string"), "source", "text"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))
-    plan = mix(docs.withColumn(key, own), keep=(key,), **how).drop("doc_id", "source").where("taken > 0").withColumn(turn, rank)
-    kept = docs.withColumn(key, own).withColumn(turn, rank).drop(*[c for c in plan.columns if c not in (key, turn)])
-    return kept.join(plan, [key, turn]).drop(key, turn)
+    every = mix(docs.withColumn(key, own), keep=(key,), **how).drop("doc_id", "source")
+    plan, kept = every.where("taken > 0"), docs.withColumn(key, own).drop(*[c for c in every.columns if c != key])
+    if every.groupBy(key).count().where("count > 1").limit(1).count() == 0:
+        # Texts move once, and unsorted, where no two rows are alike.
+        return kept.join(plan.hint("shuffle_hash"), key).drop(key)
+    return kept.withColumn(turn, rank).join(plan.withColumn(turn, rank), [key, turn]).drop(key, turn)
 
 
 def write_shards(mix_rows: DataFrame, path: str) -> None:

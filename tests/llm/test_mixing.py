@@ -61,3 +61,14 @@ def test_tree_draws_every_quota_exactly(spark):
     # Counts are hypergeometric: near their share, not equal to it.
     got = [r.n for r in leaves if r.name == "sb"]
     assert 82 / 16 - 5 < sum(got) / 16 < 82 / 16 + 5 and len(set(got)) > 2
+
+
+def test_texts_move_once_where_no_rows_are_alike(spark):
+    rows = [(i, f"w{i} " * (1 + i % 7), "ab"[i % 2]) for i in range(40)]
+    for more in ([], rows[:3]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string, source string")
+        out = mixing.mixed(docs, levels=2)
+        want = sorted((r.doc_id, r.taken) for r in mixing.mix(docs, levels=2).collect() if r.taken)
+        assert sorted((r.doc_id, r.taken) for r in out.collect()) == want
+        assert all(r.text == rows[r.doc_id][1] for r in out.collect())
+        assert ("_turn_" in out._jdf.queryExecution().optimizedPlan().toString()) == bool(more)
